@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioframe.llm import oracles
+from folioframe.llm import byte_bpe, oracles, packing
 from folioframe.llm.quality_rules import judge
 
 
@@ -12,5 +13,15 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("broken_rules")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules,)}
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = packing.read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary, size=4096, end_id=1, payload="crc32")
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return byte_bpe.digest(spark.read.parquet(f"{sf_dir}/documents.parquet"), ranks, public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op5_best_fit_packing, op9_byte_bpe)}
 ORACLE = {k: v for k, v in vars(oracles).items() if k in QUERIES}

@@ -1,0 +1,25 @@
+"""Where intermediate tables go: the folder that all executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; a temporary one of our own only where the session names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        named = f"file://{tempfile.mkdtemp(prefix='folio-')}"
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it again: later steps neither recompute it nor depend on
+    the executors that made it."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
