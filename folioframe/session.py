@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +23,8 @@ def session(cores: str | int = "*", **conf: str) -> SparkSession:
     builder = builder.config("spark.driver.memory", os.environ.get("FOLIO_DRIVER_MEMORY", "12g"))
     for k, v in {**SETTINGS, "spark.sql.shuffle.partitions": "8", **conf}.items():
         builder = builder.config(k, v)
+    # the workers import this package by name
+    builder = builder.config("spark.executorEnv.PYTHONPATH", os.pathsep.join([str(Path(__file__).resolve().parent.parent), os.environ.get("PYTHONPATH", "")]))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
