@@ -1,5 +1,6 @@
 """DuckDB SQL for the queries that SQL can express; each name is that of its query."""
 
+from folioframe.llm import url_filter
 from folioframe.llm.quality_rules import RULES, STOP_WORDS
 
 _STOPS = ", ".join(f"'{x}'" for w in dict.fromkeys(STOP_WORDS) for x in (w, w.capitalize()))
@@ -21,3 +22,32 @@ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT ({_BROKEN}) AS kept, n_stop_words, n_lines FROM b
 """
+
+_HIT = lambda t: f"regexp_matches(low, '(^|[^a-z0-9]){t}($|[^a-z0-9])')"
+_STRICT = " + ".join(f"{_HIT(t)}::INT" for t in url_filter.STRICT)
+_SOFT = " + ".join(f"{_HIT(t)}::INT" for t in url_filter.SOFT)
+_WEIGHT = " + ".join(f"{_HIT(t)}::INT * {w}" for t, w in url_filter.SOFT.items())
+_RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in url_filter.RULES)
+
+op3_url_filter = rf"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS url, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+                  CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^?#]*') ELSE '' END AS rest FROM pages),
+p AS (SELECT *, translate(regexp_extract(rest, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             substr(rest, length(regexp_extract(rest, '^[^/]*')) + 1) AS path FROM u),
+rules(rule_verdict, rule_host, rule_path) AS (VALUES {_RULES}),
+fit AS (SELECT page_id, rule_host || rule_path AS rule, rule_verdict FROM p JOIN rules
+        ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+        QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC) = 1),
+h AS (SELECT page_id, host, path, ({_STRICT})::INT AS n_strict, ({_SOFT})::INT AS n_soft, ({_WEIGHT})::DOUBLE AS soft_weight FROM p)
+SELECT page_id, host, path, rule, coalesce(rule_verdict, CASE WHEN n_strict > 0 OR soft_weight >= {url_filter.SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
+       n_strict, n_soft, soft_weight FROM h LEFT JOIN fit USING (page_id)
+"""
+
+op10_nearest = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL
+           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
+QUALIFY rank <= 20
+"""

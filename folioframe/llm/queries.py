@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioframe.llm import byte_bpe, oracles, packing
+from folioframe.llm import byte_bpe, nearest, oracles, packing, secret_scan, url_filter
 from folioframe.llm.quality_rules import judge
 
 
@@ -18,10 +18,23 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary, size=4096, end_id=1, payload="crc32")
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nearest.nearest(vectors, vectors["vec_id"] % 20 == 0, k=20)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return byte_bpe.digest(spark.read.parquet(f"{sf_dir}/documents.parquet"), ranks, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op5_best_fit_packing, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_url_filter, op5_best_fit_packing, op7_secret_scan, op9_byte_bpe, op10_nearest)}
 ORACLE = {k: v for k, v in vars(oracles).items() if k in QUERIES}
