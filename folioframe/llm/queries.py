@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioframe.llm import byte_bpe, nearest, oracles, packing, secret_scan, url_filter
+from folioframe.llm import byte_bpe, nearest, oracles, packing, quality_classifier, secret_scan, url_filter
 from folioframe.llm.quality_rules import judge
 
 
@@ -18,6 +19,15 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary, size=4096, end_id=1, payload="crc32")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    learn = labels.where(quality_classifier.fold(labels["doc_id"], 5) != 0)
+    model = quality_classifier.train(quality_classifier.training_rows(docs, learn, "quality"))
+    scored = quality_classifier.score(docs, model)
+    held_out = quality_classifier.fold(scored["doc_id"], 5) == 0
+    return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -36,5 +46,5 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(spark.read.parquet(f"{sf_dir}/documents.parquet"), ranks, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_url_filter, op5_best_fit_packing, op7_secret_scan, op9_byte_bpe, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_url_filter, op5_best_fit_packing, op7_secret_scan, op9_byte_bpe, op10_nearest)}
 ORACLE = {k: v for k, v in vars(oracles).items() if k in QUERIES}
