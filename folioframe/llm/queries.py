@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioframe.llm import byte_bpe, nearest, oracles, packing, quality_classifier, secret_scan, url_filter
+from folioframe.llm.jaccard_join import Threshold, jaccard_groups
 from folioframe.llm.quality_rules import judge
 
 
@@ -36,6 +37,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, threshold=Threshold(9, 10))
+
+
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return nearest.nearest(vectors, vectors["vec_id"] % 20 == 0, k=20)
@@ -46,5 +51,5 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(spark.read.parquet(f"{sf_dir}/documents.parquet"), ranks, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_url_filter, op5_best_fit_packing, op7_secret_scan, op9_byte_bpe, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_url_filter, op5_best_fit_packing, op7_secret_scan, op8_ngram_jaccard_join, op9_byte_bpe, op10_nearest)}
 ORACLE = {k: v for k, v in vars(oracles).items() if k in QUERIES}
