@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 from folioframe.llm.components import components
 from folioframe.llm.shared import stored
 from folioframe.llm.textkit import grams, mix, scan, signed, slices, whole
+from folioframe.llm.wanted import of_wanted
 
-#: Counters for the columns' frequencies; and bits for the documents whose sets are wanted.
+#: Counters for the columns' frequencies.
 SKETCH_BITS = 19
-FILTER_BITS = 22
 
 
 @dataclass(frozen=True)
@@ -121,24 +121,12 @@ def columns(rows: DataFrame, counters: np.ndarray, k: int, t: Threshold) -> Data
 
 
 def wanted_sets(rows: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """id and set of the documents in ids, and of some others: a bitmap of fixed size tells which texts to hash."""
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
-    bits = ids.select(bucket("id").alias("x")).groupBy((F.shiftright("x", 5)).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(x & 31 as int)))").alias("bits"))
-    got = bits.toArrow()  # 2**(FILTER_BITS - 5) rows at most
-    table = np.zeros(1 << (FILTER_BITS - 5), np.int64)
-    table[got["word"].to_numpy()] = got["bits"].to_numpy()
-    shared = rows.sparkSession.sparkContext.broadcast(table)
+    """id and set of the documents in ids, and of a few others."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def picked() -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                x = b.column("x").to_numpy(zero_copy_only=False)
-                yield b.filter(pa.array((shared.value[x >> 5] >> (x & 31)) & 1 == 1))
-
-        for b, data, offsets in slices(picked()):
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([signed(s) for s in sets(data, offsets, k)], pa.list_(pa.int64()))], names=["id", "set"])
+    def of_slice(b: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([b.column("id"), pa.array([signed(s) for s in sets(data, offsets, k)], pa.list_(pa.int64()))], names=["id", "set"])
 
-    return rows.where("id is not null").withColumn("x", bucket("id")).mapInArrow(run, "id bigint, set array<bigint>")
+    return of_wanted(rows, ids, of_slice, "id bigint, set array<bigint>")
 
 
 def verified(pairs: DataFrame, rows: DataFrame, k: int, t: Threshold) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from folioframe.llm import byte_bpe, nearest, oracles, packing, quality_classifier, secret_scan, url_filter
 from folioframe.llm.jaccard_join import Threshold, jaccard_groups
+from folioframe.llm.passages import find_passages
 from folioframe.llm.quality_rules import judge
 
 
@@ -15,6 +16,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("broken_rules")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = packing.read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
     return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary, size=4096, end_id=1, payload="crc32")
@@ -51,5 +56,5 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(spark.read.parquet(f"{sf_dir}/documents.parquet"), ranks, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_url_filter, op5_best_fit_packing, op7_secret_scan, op8_ngram_jaccard_join, op9_byte_bpe, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_url_filter, op4_substring_dedup, op5_best_fit_packing, op7_secret_scan, op8_ngram_jaccard_join, op9_byte_bpe, op10_nearest)}
 ORACLE = {k: v for k, v in vars(oracles).items() if k in QUERIES}
