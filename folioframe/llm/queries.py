@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from folioframe.llm import byte_bpe, nearest, oracles, packing, quality_classifier, secret_scan, url_filter
 from folioframe.llm.jaccard_join import Threshold, jaccard_groups
+from folioframe.llm.language_model import score_texts
 from folioframe.llm.passages import find_passages
 from folioframe.llm.quality_rules import judge
 
@@ -38,6 +39,13 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    scored = score_texts(docs, quality_classifier.fold(docs["doc_id"], 10) != 0)
+    held_out = quality_classifier.fold(scored["doc_id"], 10) == 0
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
@@ -56,5 +64,5 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(spark.read.parquet(f"{sf_dir}/documents.parquet"), ranks, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_url_filter, op4_substring_dedup, op5_best_fit_packing, op7_secret_scan, op8_ngram_jaccard_join, op9_byte_bpe, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_url_filter, op4_substring_dedup, op5_best_fit_packing, op6_lm_scoring, op7_secret_scan, op8_ngram_jaccard_join, op9_byte_bpe, op10_nearest)}
 ORACLE = {k: v for k, v in vars(oracles).items() if k in QUERIES}
