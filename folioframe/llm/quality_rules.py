@@ -4,8 +4,7 @@ Every ratio is an expression over one text, so the whole operator is a map: no s
 executors, and a document of any length is judged from its whole text.
 
 Defined results: a null text counts as the empty text (no word, so the length floor rejects it); repeated rows are
-judged each for itself; columns of the input whose names clash with an output are left out of the output, all other
-columns are kept when ``keep`` names them.
+judged each for itself; other columns of the input may have any names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -119,21 +118,23 @@ def compile_rules(rules: Sequence[Rule]) -> dict[str, Column]:
     return out
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES, min_words: int = 50, max_repeat: float = 0.5, keep: Sequence[str] = ()) -> DataFrame:
-    """Counts, verdict and the names of the broken rules of every document, beside the columns named in keep."""
+def _judged(docs: DataFrame, text_col: str, rules: Sequence[Rule], min_words: int, max_repeat: float) -> DataFrame:
+    """The input's row as a struct, so that no name of it can clash, and beside it counts, broken rules and verdict."""
     m = metrics(docs[text_col])
-    own = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_stop_words", "n_lines", "broken_rules"}
-    carried = [docs[c] for c in dict.fromkeys([id_col, *keep]) if c not in own]
-    counted = docs.select(*carried, *(c.alias(n) for n, c in m.items()))
-    names = [c for c in counted.columns if c not in m]
-    flat = counted.select(*names, "by_word.n_words", "word_chars", "n_symbols", "by_line.n_dup_lines", "by_word.n_repeat_words", "by_word.n_stop_words", "by_line.n_lines")
+    counted = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row"), *(c.alias(n) for n, c in m.items()))
+    flat = counted.select("_row", "by_word.n_words", "word_chars", "n_symbols", "by_line.n_dup_lines", "by_word.n_repeat_words", "by_word.n_stop_words", "by_line.n_lines")
     broken = compile_rules(rules)
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     listed = F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in broken.items())), lambda x: x.isNotNull()) if broken else F.array().cast("array<string>")
-    judged = flat.select("*", failed.alias("base_failed"), listed.alias("broken_rules"))
-    return judged.select(*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.size("broken_rules") == 0)).alias("kept"), "n_stop_words", "n_lines", "broken_rules")
+    return flat.select("*", failed.alias("base_failed"), listed.alias("broken_rules")).withColumn("kept", ~F.col("base_failed") & (F.size("broken_rules") == 0))
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES, min_words: int = 50, max_repeat: float = 0.5) -> DataFrame:
+    """id, counts, verdict and the names of the broken rules of every document."""
+    judged = _judged(docs, text_col, rules, min_words, max_repeat)
+    return judged.select(F.col(f"_row.`{id_col}`").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_stop_words", "n_lines", "broken_rules")
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RULES, min_words: int = 50, max_repeat: float = 0.5) -> DataFrame:
     """The documents the rules keep, with the columns they came with."""
-    return judge(docs, id_col, text_col, keep=docs.columns, **options).where("kept").select(*docs.columns)
+    return _judged(docs, text_col, rules, min_words, max_repeat).where("kept").select("_row.*")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,5 +65,11 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(spark.read.parquet(f"{sf_dir}/documents.parquet"), ranks, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_url_filter, op4_substring_dedup, op5_best_fit_packing, op6_lm_scoring, op7_secret_scan, op8_ngram_jaccard_join, op9_byte_bpe, op10_nearest)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_url_filter, op4_substring_dedup, op5_best_fit_packing, op6_lm_scoring, op7_secret_scan, op8_ngram_jaccard_join, op9_byte_bpe, op10_nearest, pipeline)}
 ORACLE = {k: v for k, v in vars(oracles).items() if k in QUERIES}
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.llm.textkit import slices
+from folioframe.llm.textkit import replace_texts, slices
 
 #: The base kinds in their order, their patterns and least lengths.
 KINDS = ("assign", "access", "hex")
@@ -175,15 +175,15 @@ def redact_text(text: str, spans: list[tuple[str, int, int, float | None]], mark
     return "".join(out) + text[at:]
 
 
-def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", min_cost: float = MIN_COST) -> DataFrame:
-    """The rows as they came, with the secrets in their texts replaced; a null text stays null."""
+def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", mark: str = "[SECRET]", min_cost: float = MIN_COST) -> DataFrame:
+    """The rows as they came, with the secrets in their texts replaced; a null text stays null; length_col, if it is a
+    column, is the new text's length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, data, offsets in slices(batches, text_col):
             texts = b.column(text_col).to_pylist()
             new = [t and redact_text(t, scan_text(t, h, min_cost), mark) for t, h in zip(texts, _hex_rows(data, offsets))]
-            at = b.schema.get_field_index(text_col)
-            yield b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
+            yield replace_texts(b, text_col, length_col, new)
 
     return docs.mapInArrow(run, docs.schema)
 

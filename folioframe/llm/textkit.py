@@ -142,3 +142,15 @@ def text_slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64)
+
+
+def replace_texts(b: pa.RecordBatch, text_col: str, length_col: str | None, new: list[str | None]) -> pa.RecordBatch:
+    """The batch with new texts; where one has changed, length_col (if it is a column) is its length from then on."""
+    old = b.column(text_col).to_pylist()
+    columns = {text_col: new}
+    if length_col in b.schema.names:
+        columns[length_col] = [n if t is None or t == o else len(t) for n, t, o in zip(b.column(length_col).to_pylist(), new, old)]
+    for name, values in columns.items():
+        at = b.schema.get_field_index(name)
+        b = b.set_column(at, b.schema.field(at), pa.array(values, b.schema.field(at).type))
+    return b
