@@ -156,9 +156,11 @@ def untrusted(x: Column) -> Column:
 
 
 def normalised_content(x: Column) -> Column:
-    """Content as compared by error rates: no Markdown signs, single spaces, lower case."""
-    plain = F.regexp_replace(x, r"<!--[\s\S]*?-->", " ")
-    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(plain, r"[#*_`|>\-]+", " ")), r"\s+", " "))
+    """Content as error rates compare it: no separator lines of tables, no bars, no words of # or - alone, single
+    blanks; case and accents stay."""
+    kept = F.filter(F.split(x, r"\r?\n"), lambda line: ~F.trim(line).rlike(r"^[|\-: ]+$"))
+    plain = words(F.replace(F.array_join(kept, " "), F.lit("|"), F.lit(" ")))
+    return F.array_join(F.filter(plain, lambda w: ~w.rlike("^[#-]+$")), " ")
 
 
 def char_error_rate(reference: Column, other: Column) -> Column:
