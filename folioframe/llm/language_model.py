@@ -212,7 +212,7 @@ def train(rows: DataFrame, v: Vocabulary, dim: int = DIM) -> Parameters:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, noise = shared.value
         trainer, tokens = Trainer(Parameters.start(classes, dim, noise), noise, 11), 0
-        for b, data, offsets in slices(b.filter(b.column("train")) for b in batches):
+        for b, data, offsets in slices((b.filter(b.column("train")) for b in batches), most=2 << 20):
             w = scan(data, offsets, lower=True)
             c1, c2, token, _ = sequences(w, v.look(w.hash)[1], b.num_rows, classes)
             m = classes + 1

@@ -1,6 +1,6 @@
 """Vectorised word splitting and hashing over Arrow batches, shared by the operators on words.
 
-Texts are handled in slices of a few megabytes (a longer single text is a slice of its own), so a worker's memory is
+Texts are handled in slices of a megabyte (a longer single text is a slice of its own), so a worker's memory is
 bounded by the slice or by its longest text, whatever the batch holds.
 """
 
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 #: The bytes between words.
 _SEP = np.zeros(256, bool)
