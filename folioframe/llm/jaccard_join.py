@@ -46,6 +46,11 @@ class Threshold:
     p: int
     q: int
 
+    @property
+    def signature_words(self) -> int:
+        """64-bit words of the bitmaps: enough to tell unlike sets of some hundred n-grams apart."""
+        return 4 if 10 * self.p >= 9 * self.q else 8
+
     def kept(self, n: int) -> int:
         return n - -(-self.p * n // self.q) + 1
 
@@ -56,6 +61,11 @@ class Threshold:
         most = overlap + F.greatest(x - self.kept_column(x), y - self.kept_column(y))
         return most * (self.p + self.q) >= (x + y) * self.p
 
+    def signatures_fit(self, x: Column, y: Column, words: int, nx: Column, ny: Column) -> Column:
+        """Sets that differ in d n-grams have parity bitmaps that differ in d bits at most."""
+        differ = sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(words)), F.lit(0))
+        return differ * (self.p + self.q) <= (nx + ny) * (self.q - self.p)
+
     def sizes_fit(self, x: Column, y: Column) -> Column:
         return F.least(x, y) * self.q >= F.greatest(x, y) * self.p
 
@@ -105,19 +115,28 @@ def profile(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     return both.where(~F.col("counter")).drop("counter"), both.where("counter").groupBy("id").agg(F.sum("n").alias("n"))
 
 
+def parity(s: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap of a set: each n-gram turns one bit over."""
+    bits = np.bincount((mix(s ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def columns(rows: DataFrame, counters: np.ndarray, k: int, t: Threshold) -> DataFrame:
-    """id, n and the kept columns of every document, its rarest first."""
-    shared = rows.sparkSession.sparkContext.broadcast(counters)  # 2**SKETCH_BITS numbers
+    """id, n, the kept columns of every document (its rarest first), how common these are, and its set's bitmap."""
+    shared, words = rows.sparkSession.sparkContext.broadcast(counters), t.signature_words  # 2**SKETCH_BITS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, data, offsets in slices(batches):
-            kept, n = [], []
+            kept, n, common, signature = [], [], [], []
             for s in sets(data, offsets, k):
-                order = np.argsort(shared.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
-                kept.append(signed(s[order[: t.kept(len(s))]]) if len(s) else signed(s)), n.append(len(s))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(kept, pa.list_(pa.int64()))], names=["id", "n", "kept"])
+                count = shared.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                order = np.argsort(count, kind="stable")[: t.kept(len(s)) if len(s) else 0]
+                kept.append(signed(s[order])), n.append(len(s)), signature.append(parity(s, words))
+                common.append(float(np.log(np.maximum(count[order], 1)).mean()) if len(s) else 0.0)
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (kept, signature)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), lists[0], pa.array(common), lists[1]], names=["id", "n", "kept", "common", "signature"])
 
-    return rows.mapInArrow(run, "id bigint, n bigint, kept array<bigint>")
+    return rows.mapInArrow(run, "id bigint, n bigint, kept array<bigint>, common double, signature array<bigint>")
 
 
 def wanted_sets(rows: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -139,9 +158,11 @@ def verified(pairs: DataFrame, rows: DataFrame, k: int, t: Threshold) -> DataFra
 
 
 def first_pairs(kept: DataFrame, t: Threshold) -> DataFrame:
-    """Each document with the one that it shares most columns with, among those that stand first in its columns."""
-    post = kept.select(F.explode("kept").alias("c"), "id", "n")
-    first = post.groupBy("c").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id", "n")).alias("f"), F.count("*").alias("m")).where("m > 1").select("c", F.col("f.id").alias("b"), F.col("f.n").alias("bn"))
+    """Each document with the one that it shares most columns with, among those that stand first in its columns. First
+    stands the document whose columns are the most common: in a group of edited copies, the one with the least edits."""
+    rank = F.col("common") + F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 40)  # ties could only lose a guess
+    post = kept.select(F.explode("kept").alias("c"), "id", "n", rank.alias("rank"))
+    first = post.groupBy("c").agg(F.max_by("id", "rank").alias("b"), F.max_by("n", "rank").alias("bn"), F.count("*").alias("m")).where("m > 1").drop("m")
     product = post.join(first, "c").where((F.col("id") != F.col("b")) & t.sizes_fit(F.col("n"), F.col("bn"))).groupBy("id", "n", "b", "bn").agg(F.count("*").alias("o"))
     best = product.where(t.may_reach(F.col("o"), F.col("n"), F.col("bn"))).groupBy("id").agg(F.max(F.struct("o", "b")).alias("x"))
     return best.select(F.col("id").alias("a"), F.col("x.b").alias("b"))
@@ -151,9 +172,11 @@ def cross_pairs(kept: DataFrame, labels: DataFrame, t: Threshold) -> DataFrame:
     """All pairs of different groups that may be links."""
     post = kept.join(labels, "id", "left").select("id", "n", F.coalesce("component", "id").alias("g"), F.explode("kept").alias("c"))
     mixed = post.groupBy("c").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("c")
-    post = stored(post.join(mixed, "c"), "mixed")
-    x, y = (post.select("c", *(F.col(n).alias(f"{s}{n}") for n in ("id", "n", "g"))) for s in "xy")
-    product = x.join(y, "c").where((F.col("xg") < F.col("yg")) & t.sizes_fit(F.col("xn"), F.col("yn"))).groupBy("xid", "xn", "yid", "yn").agg(F.count("*").alias("o"))
+    post = stored(post.join(mixed, "c").join(kept.select("id", "signature"), "id"), "mixed")
+    side = lambda s, c: post.select(F.col("c").alias(c), *(F.col(n).alias(f"{s}{n}") for n in ("id", "n", "g", "signature")))
+    x, y = side("x", "c"), side("y", "yc")
+    may = t.sizes_fit(F.col("xn"), F.col("yn")) & t.signatures_fit(F.col("xsignature"), F.col("ysignature"), t.signature_words, F.col("xn"), F.col("yn"))
+    product = x.join(y, (F.col("c") == F.col("yc")) & (F.col("xg") < F.col("yg")) & may).groupBy("xid", "xn", "yid", "yn").agg(F.count("*").alias("o"))
     return product.where(t.may_reach(F.col("o"), F.col("xn"), F.col("yn"))).select(F.col("xid").alias("a"), F.col("yid").alias("b"))
 
 
