@@ -121,8 +121,10 @@ def compile_rules(rules: Sequence[Rule]) -> dict[str, Column]:
 def _judged(docs: DataFrame, text_col: str, rules: Sequence[Rule], min_words: int, max_repeat: float) -> DataFrame:
     """The input's row as a struct, so that no name of it can clash, and beside it counts, broken rules and verdict."""
     m = metrics(docs[text_col])
-    counted = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row"), *(c.alias(n) for n, c in m.items()))
-    flat = counted.select("_row", "by_word.n_words", "word_chars", "n_symbols", "by_line.n_dup_lines", "by_word.n_repeat_words", "by_word.n_stop_words", "by_line.n_lines")
+    row = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row")
+    # out of a generator the counts come once; a filter on the verdict would else count anew for each use of a count
+    counted = docs.select(row, F.explode(F.array(F.struct(*(c.alias(n) for n, c in m.items())))).alias("m"))
+    flat = counted.select("_row", "m.by_word.n_words", "m.word_chars", "m.n_symbols", "m.by_line.n_dup_lines", "m.by_word.n_repeat_words", "m.by_word.n_stop_words", "m.by_line.n_lines")
     broken = compile_rules(rules)
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     listed = F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in broken.items())), lambda x: x.isNotNull()) if broken else F.array().cast("array<string>")
