@@ -175,16 +175,16 @@ def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "margin_lines",
     """WITH l AS (SELECT source, doc_id, unnest([string_split(text, chr(10))[1], string_split(text, chr(10))[-1]]) AS line FROM documents), n AS (SELECT source, count(*) AS pages FROM documents GROUP BY 1)
-       SELECT source, line, count(DISTINCT doc_id) AS n_pages FROM l JOIN n USING (source) WHERE length(line) BETWEEN 8 AND 400 AND pages >= 4 GROUP BY source, line, pages HAVING count(DISTINCT doc_id) >= greatest(3, ceil(3 * pages / 5.0) - 5)""",
+       SELECT source, line, count(DISTINCT doc_id) AS n_pages FROM l JOIN n USING (source) WHERE length(line) BETWEEN 8 AND 400 AND pages >= 4 GROUP BY source, line, pages HAVING count(DISTINCT doc_id) >= greatest(3, ceil(pages / 20.0))""",
 )
 def margin_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First and last lines that most pages of a source share, as page headers do (with a little slack for these data)."""
+    """First and last lines that many pages of a source share, as page headers do; here a twentieth of them, for these are no pages of one document."""
     docs = _docs(spark, sf_dir)
     pages = docs.groupBy("source").agg(F.count("*").alias("pages"))
     lines = F.split("text", "\n")
     margin = docs.select("source", "doc_id", F.explode(F.array(F.element_at(lines, 1), F.element_at(lines, -1))).alias("line")).where("length(line) between 8 and 400").distinct()
     counted = margin.groupBy("source", "line").agg(F.count("*").alias("n_pages")).join(pages, "source")
-    return counted.where((F.col("pages") >= 4) & (F.col("n_pages") >= F.greatest(F.lit(3), F.ceil(3 * F.col("pages") / 5) - 5))).select("source", "line", "n_pages")
+    return counted.where((F.col("pages") >= 4) & (F.col("n_pages") >= F.greatest(F.lit(3), F.ceil(F.col("pages") / 20)))).select("source", "line", "n_pages")
 
 
 @query("benchmark_overlap", "SELECT doc_id, item_id FROM documents, benchmark WHERE contains(documents.text, benchmark.text)")

@@ -278,11 +278,12 @@ def role_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "dormant_grants",
     """SELECT c_mktsegment, string_agg(DISTINCT CAST(c_nationkey AS VARCHAR), ', ' ORDER BY CAST(c_nationkey AS VARCHAR)) AS nations FROM customer
-       WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) GROUP BY 1""",
+       WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= TIMESTAMP '1998-01-01') GROUP BY 1""",
 )
 def dormant_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where customers without any order are, by segment."""
-    idle = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").select("o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    """Where customers without a late order are, by segment."""
+    late = table(spark, sf_dir, "orders").where("o_orderdate >= timestamp '1998-01-01'")
+    idle = table(spark, sf_dir, "customer").join(late.select("o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
     return idle.groupBy("c_mktsegment").agg(F.array_join(F.sort_array(F.collect_set(F.col("c_nationkey").cast("string"))), ", ").alias("nations"))
 
 
