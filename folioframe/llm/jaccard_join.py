@@ -200,6 +200,8 @@ def jaccard_groups(docs: DataFrame, k: int = 5, threshold: Threshold = Threshold
 
 
 def one_of_each(docs: DataFrame, k: int = 5, threshold: Threshold = Threshold(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that are the first of their group, with the columns they came with; of repeated ids one row."""
-    first = jaccard_groups(docs, k, threshold, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).cast(docs.schema[id_col].dataType).alias("_first"))
-    return docs.join(first.distinct(), docs[id_col] == F.col("_first"), "left_semi").dropDuplicates([id_col])
+    """The documents that are the first of their group, with the columns they came with; of repeated ids one row. Rows
+    with a null id belong to no group and stay."""
+    first = jaccard_groups(docs, k, threshold, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).cast(docs.schema[id_col].dataType).alias("__first"))
+    kept = docs.join(first.distinct(), docs[id_col] == F.col("__first"), "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(docs.where(docs[id_col].isNull()))
