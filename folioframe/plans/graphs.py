@@ -52,7 +52,12 @@ def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components(nodes, _edges(spark, sf_dir))
 
 
-@query("component_summary")
+@query(
+    "component_summary",
+    f"""WITH RECURSIVE {_E}, r AS (SELECT vec_id AS id, vec_id AS c FROM embeddings UNION SELECT CASE WHEN e.a = r.id THEN e.b ELSE e.a END, r.c FROM r JOIN e ON e.a = r.id OR e.b = r.id),
+        m AS (SELECT id, min(c) AS component FROM r GROUP BY 1), l AS (SELECT component, label, count(*) AS k FROM m JOIN embeddings ON vec_id = id GROUP BY 1, 2)
+        SELECT component, sum(k)::BIGINT AS n, first(label ORDER BY k DESC, label) AS dominant_label FROM l GROUP BY 1""",
+)
 def component_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size and dominant label of each component."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
