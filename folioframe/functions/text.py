@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MARKS = "̀-ͯ"
+MARKS = "\u0300-\u036f"
 
 
 def _fold_table() -> tuple[str, str]:
@@ -15,9 +15,9 @@ def _fold_table() -> tuple[str, str]:
     source, target = ["đ", "Đ"], ["d", "D"]
     for code in range(0xC0, 0x10000):
         c = chr(code)
-        if "̀" <= c <= "ͯ" or 0xD800 <= code < 0xE000:
+        if "\u0300" <= c <= "\u036f" or 0xD800 <= code < 0xE000:
             continue
-        plain = "".join(x for x in unicodedata.normalize("NFD", c) if not "̀" <= x <= "ͯ").translate({0x111: "d", 0x110: "D"})
+        plain = "".join(x for x in unicodedata.normalize("NFD", c) if not "\u0300" <= x <= "\u036f").translate({0x111: "d", 0x110: "D"})
         if len(plain) == 1 and plain != c and c not in "đĐ":
             source.append(c)
             target.append(plain)
@@ -53,7 +53,7 @@ def prefix_query(x: Column) -> Column:
 
 def words(x: Column) -> Column:
     """Words between white space, none of them empty."""
-    return F.filter(F.split(x, r"[\s\u0085   -     　]+"), lambda w: w != "")
+    return F.filter(F.split(x, r"[\s\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"), lambda w: w != "")
 
 
 def snippet(x: Column, n: int = 58) -> Column:

@@ -171,7 +171,7 @@ def corpus_issues(family: Column, size: Column, markdown: Column) -> Column:
     """What a conversion's result shows, by family: codes with their severity."""
     n, low = F.length(markdown), F.lower(markdown)
     checks = [
-        (F.contains(markdown, F.lit("�")), "error:replacement"),
+        (F.contains(markdown, F.lit("\ufffd")), "error:replacement"),
         ((family == "pdf") & (n < 500), "error:short"),
         ((family == "docx") & (size > 20000) & (n == 0), "warning:no_text"),
         ((family == "pptx") & (n == 0), "info:no_text"),

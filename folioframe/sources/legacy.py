@@ -12,14 +12,14 @@ TCVN3 = dict(
     )
 )
 
-_TONES = {"grave": "̀", "acute": "́", "hook": "̉", "tilde": "̃", "dot": "̣"}
+_TONES = {"grave": "\u0300", "acute": "\u0301", "hook": "\u0309", "tilde": "\u0303", "dot": "\u0323"}
 
 
 def _vni() -> dict[str, str]:
     """Pairs of a letter and its mark: the marks of plain, circumflex and breve letters, in either case."""
     plain = dict(zip("øùûõï", _TONES.values()))
-    hat = {"â": "̂", **{m: "̂" + t for m, t in zip("àáåãä", _TONES.values())}}
-    breve = {"ê": "̆", **{m: "̆" + t for m, t in zip("èéúüë", _TONES.values())}}
+    hat = {"â": "\u0302", **{m: "\u0302" + t for m, t in zip("àáåãä", _TONES.values())}}
+    breve = {"ê": "\u0306", **{m: "\u0306" + t for m, t in zip("èéúüë", _TONES.values())}}
     out = {}
     for base in "aeouyôö":
         letter = {"ô": "ơ", "ö": "ư"}.get(base, base)
