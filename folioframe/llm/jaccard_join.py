@@ -31,9 +31,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.llm.components import components
-from folioframe.llm.shared import stored
 from folioframe.llm.textkit import grams, mix, scan, signed, slices, whole
 from folioframe.llm.wanted import of_wanted
+from folioframe.operators.tables import stored
 
 #: Counters for the columns' frequencies.
 SKETCH_BITS = 19
@@ -94,14 +94,14 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
 
 
-def profile(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+def profile(rows: DataFrame, k: int, bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame]:
     """Of each document its set's size and signature; and how often each of the counters was hit by all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, hits = ["id", "n", "s1", "s2", "counter"], np.zeros(1 << SKETCH_BITS, np.int64)
+        names, hits = ["id", "n", "s1", "s2", "counter"], np.zeros(1 << bits, np.int64)
         for b, data, offsets in slices(batches):
             n, s1, s2, own = [], [], [], sets(data, offsets, k)
-            hits += np.bincount((np.concatenate(own) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+            hits += np.bincount((np.concatenate(own) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
             for s in own:
                 n.append(len(s)), s1.append(mix(s).sum(dtype=np.uint64)), s2.append(np.bitwise_xor.reduce(mix(s * np.uint64(0x9E3779B97F4A7C15))) if len(s) else np.uint64(0))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(signed(np.array(s1, np.uint64))), pa.array(signed(np.array(s2, np.uint64))), pa.array([False] * len(n))], names=names)
@@ -123,13 +123,14 @@ def parity(s: np.ndarray, words: int) -> np.ndarray:
 
 def columns(rows: DataFrame, counters: np.ndarray, k: int, t: Threshold) -> DataFrame:
     """id, n, the kept columns of every document (its rarest first), how common these are, and its set's bitmap."""
-    shared, words = rows.sparkSession.sparkContext.broadcast(counters), t.signature_words  # 2**SKETCH_BITS numbers
+    shift = np.uint64(64 - int(len(counters)).bit_length() + 1)
+    shared, words = rows.sparkSession.sparkContext.broadcast(counters), t.signature_words  # a table of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, data, offsets in slices(batches):
             kept, n, common, signature = [], [], [], []
             for s in sets(data, offsets, k):
-                count = shared.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                count = shared.value[(s >> shift).astype(np.int64)]
                 order = np.argsort(count, kind="stable")[: t.kept(len(s)) if len(s) else 0]
                 kept.append(signed(s[order])), n.append(len(s)), signature.append(parity(s, words))
                 common.append(float(np.log(np.maximum(count[order], 1)).mean()) if len(s) else 0.0)
@@ -163,6 +164,7 @@ def first_pairs(kept: DataFrame, t: Threshold) -> DataFrame:
     rank = F.col("common") + F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 40)  # ties could only lose a guess
     post = kept.select(F.explode("kept").alias("c"), "id", "n", rank.alias("rank"))
     first = post.groupBy("c").agg(F.max_by("id", "rank").alias("b"), F.max_by("n", "rank").alias("bn"), F.count("*").alias("m")).where("m > 1").drop("m")
+    first = stored(first, "first")  # a table of its own, so that adaptive execution can split a hot column in the join
     product = post.join(first, "c").where((F.col("id") != F.col("b")) & t.sizes_fit(F.col("n"), F.col("bn"))).groupBy("id", "n", "b", "bn").agg(F.count("*").alias("o"))
     best = product.where(t.may_reach(F.col("o"), F.col("n"), F.col("bn"))).groupBy("id").agg(F.max(F.struct("o", "b")).alias("x"))
     return best.select(F.col("id").alias("a"), F.col("x.b").alias("b"))
@@ -172,6 +174,7 @@ def cross_pairs(kept: DataFrame, labels: DataFrame, t: Threshold) -> DataFrame:
     """All pairs of different groups that may be links."""
     post = kept.join(labels, "id", "left").select("id", "n", F.coalesce("component", "id").alias("g"), F.explode("kept").alias("c"))
     mixed = post.groupBy("c").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("c")
+    mixed = stored(mixed, "mixed-columns")
     post = stored(post.join(mixed, "c").join(kept.select("id", "signature"), "id"), "mixed")
     side = lambda s, c: post.select(F.col("c").alias(c), *(F.col(n).alias(f"{s}{n}") for n in ("id", "n", "g", "signature")))
     x, y = side("x", "c"), side("y", "yc")
@@ -180,12 +183,14 @@ def cross_pairs(kept: DataFrame, labels: DataFrame, t: Threshold) -> DataFrame:
     return product.where(t.may_reach(F.col("o"), F.col("xn"), F.col("yn"))).select(F.col("xid").alias("a"), F.col("yid").alias("b"))
 
 
-def jaccard_groups(docs: DataFrame, k: int = 5, threshold: Threshold = Threshold(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles (the set's size) and component_id (the smallest id that links reach) of every document."""
+def jaccard_groups(docs: DataFrame, k: int = 5, threshold: Threshold = Threshold(4, 5), id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = SKETCH_BITS) -> DataFrame:
+    """id, n_shingles (the set's size) and component_id (the smallest id that links reach) of every document. More
+    sketch_bits (up to 24 or so: eight bytes for each counter are broadcast) tell frequent columns apart in a larger
+    corpus; the result is the same."""
     t, rows = threshold, _texts(docs, id_col, text_col)
-    of_doc, hits = profile(rows, k)
-    got = hits.toArrow()  # 2**SKETCH_BITS rows at most
-    counters = np.zeros(1 << SKETCH_BITS, np.int64)
+    of_doc, hits = profile(rows, k, sketch_bits)
+    got = hits.toArrow()  # 2**sketch_bits rows at most
+    counters = np.zeros(1 << sketch_bits, np.int64)
     counters[got["id"].to_numpy()] = got["n"].to_numpy()
     classes = stored(of_doc.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")), "classes")
     kept = stored(columns(rows, counters, k, t).join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "columns")
