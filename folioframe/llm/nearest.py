@@ -21,8 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 2048
-ROW_BLOCK = 16384
+#: Queries and rows in a tile at most: every row is shuffled once for each block of queries, so large blocks are cheap.
+QUERY_BLOCK = 8192
+ROW_BLOCK = 65536
+LEAST_BLOCK = 1024
 PART = 4096
 
 
@@ -85,7 +87,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     """query_id, rank, id and score of the k nearest rows of every row that is_query picks."""
     rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where(F.col("id").isNotNull() & usable(F.col("v")))
     n = rows.agg(F.count("*"), F.count_if("q")).first()
-    n_rows, n_queries = max(1, math.ceil(n[0] / row_block)), max(1, math.ceil(n[1] / query_block))
+    n_queries = max(1, math.ceil(n[1] / query_block))
+    tiles = math.ceil(vectors.sparkSession.sparkContext.defaultParallelism / n_queries)  # few rows are still cut finely enough for all cores
+    n_rows = max(1, math.ceil(n[0] / row_block), min(tiles, math.ceil(n[0] / LEAST_BLOCK)))
     block = lambda m, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     base = rows.select("id", "v", F.size("v").alias("dim"), block(n_rows, 1).alias("b"), every(n_queries).alias("qb"))
