@@ -101,6 +101,13 @@ def grams(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return h, at
 
 
+def runs(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n words from each index on, of word hashes h, in time that n doesn't change."""
+    prefix = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * _power(_BASE, len(h)), out=prefix[1:])
+    return mix((prefix[at + n] - prefix[at]) * _power(_BASE_INV, len(h))[at])
+
+
 def whole(w: Words, row: int) -> int:
     """A hash of a row's whole word sequence."""
     h = np.uint64(0x51)
