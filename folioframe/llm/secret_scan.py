@@ -33,6 +33,8 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: The added kind: contexts that announce a credential, and its value.
 CONTEXT = re.compile(r"""(?<![A-Za-z0-9])(?i:pwd|pass(?:word|wd|phrase|code)?|secret|token|api[_-]?key|auth(?:orization)?|bearer|credentials?|private[_-]?key|access[_-]?key|login)["']?(?:\x20?(?:[:=]|=>|->|\bis\b)\x20?|\x20)["']?([^\s"'<>,;]{6,})""", re.A)
 CONTEXT_WORDS = ("pwd", "pass", "secret", "token", "key", "auth", "bearer", "credential", "login")
+#: No context is longer, with what stands between it and its value.
+CONTEXT_MOST = 24
 MIN_COST = 8.0
 
 #: Frequent passwords and words of passwords, most frequent first.
@@ -121,15 +123,21 @@ def scan_text(text: str, may_hex: bool = True, min_cost: float = MIN_COST) -> li
         taken, at = base, 0
         ends = np.maximum.accumulate([b for _, _, b in taken]) if taken else []
         starts = [a for a, _, _ in taken]
-        for m in CONTEXT.finditer(text):
+        pos = 0
+        while m := CONTEXT.search(text, pos):
             a, b = m.span(1)
+            pos = a  # a value that is none can be the context of the next
             while b > a and text[b - 1] in ".!?)]}":  # closes the sentence, not the value
                 b -= 1
             at = int(np.searchsorted(starts, b, "left")) if starts else 0
-            if b - a < 6 or (at and ends[at - 1] > a):
+            if at and ends[at - 1] > a:
+                pos = max(a, int(ends[at - 1]) - CONTEXT_MOST)  # before that, no context has its value behind the span
+                continue
+            if b - a < 6:
                 continue
             if (cost := guess_cost(text[a:b])) >= min_cost and any(c.isdigit() for c in text[a:b]):
                 spans.append(("guess", a, b, cost))
+                pos = b
         spans.sort(key=lambda s: (s[1], (*KINDS, "guess").index(s[0])))
     return spans
 

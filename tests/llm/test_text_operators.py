@@ -110,6 +110,20 @@ def test_secret_redaction(odd):
     assert new[0].text is None and secret_scan.redact(odd).schema == odd.schema
 
 
+@pytest.mark.parametrize(
+    "text, value",
+    [
+        ("Authorization: Bearer q8Zt4LmX0vYp3Rk7", "q8Zt4LmX0vYp3Rk7"),
+        ("login password: Zk4!vQ9#tR2x", "Zk4!vQ9#tR2x"),
+        ("auth token -> Zk4!vQ9#tR2x.", "Zk4!vQ9#tR2x"),
+        ("auth: key=Zk4!vQ9#tR2x", "key=Zk4!vQ9#tR2x"),
+        ("token: abcdefgh_login Zk4!vQ9#tR2x", "Zk4!vQ9#tR2x"),
+    ],
+)
+def test_secret_contexts_in_a_row(text, value):
+    assert [text[a:b] for kind, a, b, _ in secret_scan.scan_text(text) if kind == "guess"] == [value]
+
+
 @pytest.mark.parametrize("weak, strong", [("password1", "k9#Lq2!vZx"), ("qwertyuiop", "qmeitrybpo"), ("aaaaaaaaaaaa", "ahgtplmzwqrb"), ("20240115", "48210937")])
 def test_guess_cost_prefers_known_patterns(weak, strong):
     assert secret_scan.guess_cost(weak) < secret_scan.guess_cost(strong)
