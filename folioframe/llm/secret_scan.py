@@ -3,7 +3,9 @@
 The estimate is the cheapest way to guess a value piece by piece: dynamic programming over its characters picks the
 segmentation into known words, dates, repeats, keyboard walks and brute force whose guesses multiply to the least. A
 value in a credential's context that takes 10**MIN_COST guesses or more is a span of its own, unless it overlaps a span
-of the fixed patterns.
+of the fixed patterns or is plain words. Plain words are letters in one case, with a capital first or in camel case, that
+can be spoken, also joined by hyphens and the like: mostly the text going on. Several of them (each 10**WORD_COST
+guesses) are a span behind a colon, an equals sign or an arrow; one alone never is.
 
 Defined results: a null text counts as empty and has no spans; every text is scanned whole; values of any length cost
 time in proportion to their length. Offsets are code points, the end exclusive.
@@ -37,6 +39,13 @@ CONTEXT_WORDS = ("pwd", "pass", "secret", "token", "key", "auth", "bearer", "cre
 CONTEXT_MOST = 24
 MIN_COST = 8.0
 
+#: What words are made of and joined by.
+JOINED = re.compile(r"[-/'’._:&()\[\]{}*`|?!=…–—]+")
+CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+CONSONANTS = re.compile(r"[b-df-hj-np-tv-xz]{6}", re.I)
+VOWEL = re.compile(r"[aeiouy]", re.I)
+WORD_COST = 4.0
+
 #: Frequent passwords and words of passwords, most frequent first.
 COMMON = (
     "password 123456 qwerty abc123 letmein monkey dragon iloveyou admin welcome login master hello freedom whatever "
@@ -107,6 +116,22 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
+def plain_words(value: str) -> int:
+    """How many words value is, if it is nothing else; otherwise 0. There is no dictionary: what can be spoken is a word."""
+    n = 0
+    for part in JOINED.split(value):
+        if not part.isascii() and part.isalpha():
+            n += 1
+            continue
+        words = CAMEL.findall(part)
+        if "".join(words) != part or (len(words) > 1 and min(map(len, words)) < 3):
+            return 0
+        if any(len(w) > 2 and (CONSONANTS.search(w) or not VOWEL.search(w)) for w in words):
+            return 0
+        n += len(words)
+    return n
+
+
 def scan_text(text: str, may_hex: bool = True, min_cost: float = MIN_COST) -> list[tuple[str, int, int, float | None]]:
     """All spans by start, then kind: (kind, start, end, cost). may_hex: whether the text can hold a hex secret at all."""
     low = text.lower()
@@ -135,7 +160,10 @@ def scan_text(text: str, may_hex: bool = True, min_cost: float = MIN_COST) -> li
                 continue
             if b - a < 6:
                 continue
-            if (cost := guess_cost(text[a:b])) >= min_cost and any(c.isdigit() for c in text[a:b]):
+            words = plain_words(text[a:b])
+            if words and (WORD_COST * words < min_cost or words == 1 or not re.search(r"[:=>]\x20?[\"']?$", text[m.start() : a])):
+                continue
+            if (cost := guess_cost(text[a:b])) >= min_cost:
                 spans.append(("guess", a, b, cost))
                 pos = b
         spans.sort(key=lambda s: (s[1], (*KINDS, "guess").index(s[0])))

@@ -124,6 +124,21 @@ def test_secret_contexts_in_a_row(text, value):
     assert [text[a:b] for kind, a, b, _ in secret_scan.scan_text(text) if kind == "guess"] == [value]
 
 
+@pytest.mark.parametrize(
+    "text, value",
+    [
+        ("pwd: KxQ!vRt#Lp-ZwYbTm", "KxQ!vRt#Lp-ZwYbTm"),
+        ("passphrase: kxqvrtlpzwybtm", "kxqvrtlpzwybtm"),
+        ("passphrase: correct-horse-battery-staple", "correct-horse-battery-staple"),
+        ("the secret ingredient, a login user-friendly", None),
+        ("Password: required. token JavaScript", None),
+        ("Authorization: Bearer KxQvRtLpZwYbTm", "KxQvRtLpZwYbTm"),
+    ],
+)
+def test_secrets_without_digits(text, value):
+    assert [text[a:b] for kind, a, b, _ in secret_scan.scan_text(text) if kind == "guess"] == [value] * (value is not None)
+
+
 @pytest.mark.parametrize("weak, strong", [("password1", "k9#Lq2!vZx"), ("qwertyuiop", "qmeitrybpo"), ("aaaaaaaaaaaa", "ahgtplmzwqrb"), ("20240115", "48210937")])
 def test_guess_cost_prefers_known_patterns(weak, strong):
     assert secret_scan.guess_cost(weak) < secret_scan.guess_cost(strong)
