@@ -23,24 +23,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND NOT ({_BROKEN}) AS kept, n_stop_words, n_lines FROM b
 """
 
-_HIT = lambda t: f"regexp_matches(low, '(^|[^a-z0-9]){t}($|[^a-z0-9])')"
-_STRICT = " + ".join(f"{_HIT(t)}::INT" for t in url_filter.STRICT)
-_SOFT = " + ".join(f"{_HIT(t)}::INT" for t in url_filter.SOFT)
-_WEIGHT = " + ".join(f"{_HIT(t)}::INT * {w}" for t, w in url_filter.SOFT.items())
-_RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in url_filter.RULES)
+_TERMS = ", ".join([f"('{t}', true, 0.0)" for t in url_filter.STRICT] + [f"('{t}', false, {w})" for t, w in url_filter.SOFT.items()])
 
 op3_url_filter = rf"""
 WITH u AS (SELECT page_id, coalesce(url, '') AS url, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
                   CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^?#]*') ELSE '' END AS rest FROM pages),
 p AS (SELECT *, translate(regexp_extract(rest, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              substr(rest, length(regexp_extract(rest, '^[^/]*')) + 1) AS path FROM u),
-rules(rule_verdict, rule_host, rule_path) AS (VALUES {_RULES}),
+rules(rule_verdict, rule_host, rule_path) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+terms(term, strict, weight) AS (VALUES {_TERMS}),
 fit AS (SELECT page_id, rule_host || rule_path AS rule, rule_verdict FROM p JOIN rules
         ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
         QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC) = 1),
-h AS (SELECT page_id, host, path, ({_STRICT})::INT AS n_strict, ({_SOFT})::INT AS n_soft, ({_WEIGHT})::DOUBLE AS soft_weight FROM p)
+h AS (SELECT page_id, count(*) FILTER (strict)::INT AS n_strict, count(*) FILTER (NOT strict)::INT AS n_soft, coalesce(sum(weight), 0)::DOUBLE AS soft_weight
+      FROM p JOIN terms ON contains(low, term) AND regexp_matches(low, '(^|[^a-z0-9])' || term || '($|[^a-z0-9])') GROUP BY page_id)
 SELECT page_id, host, path, rule, coalesce(rule_verdict, CASE WHEN n_strict > 0 OR soft_weight >= {url_filter.SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
-       n_strict, n_soft, soft_weight FROM h LEFT JOIN fit USING (page_id)
+       coalesce(n_strict, 0)::INT AS n_strict, coalesce(n_soft, 0)::INT AS n_soft, coalesce(soft_weight, 0)::DOUBLE AS soft_weight
+FROM p LEFT JOIN h USING (page_id) LEFT JOIN fit USING (page_id)
 """
 
 op10_nearest = """

@@ -17,14 +17,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Fixed values: (verdict, host, path).
-RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("allow", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-
-#: The vocabulary: strict terms block alone, soft ones by weight.
-STRICT = ("porn", "porno", "xxx", "nsfw", "hentai", "casino", "viagra", "cialis", "escort", "escorts", "warez", "keygen")
+RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+
+#: The vocabulary, in English, French, German and Spanish: strict terms block alone, soft ones by weight.
+STRICT = tuple(
+    "porn porno porns pornos pornstar pornstars xxx xxxvideos nsfw hentai milf camgirl camgirls camsex webcamsex sexcam sexcams "
+    "casino casinos kasino viagra cialis levitra escort escorts warez keygen keygens cracked crackz serialz "
+    "gratisporno pornofilm pornofilme sexfilm sexfilme sexkontakte erotikchat hurenportal "
+    "pornographie filmporno sexegratuit plancul "
+    "pornografia videosporno sexogratis putas".split()
+)
 SOFT = {
-    "adult": 1.0, "sex": 1.0, "sexy": 1.0, "nude": 1.0, "dating": 0.5, "bet": 0.5, "betting": 1.0, "poker": 1.0, "slots": 0.5, "gambling": 1.0, "jackpot": 1.0,
-    "loan": 0.5, "loans": 0.5, "payday": 0.5, "pills": 1.0, "replica": 0.5, "crack": 1.0, "torrent": 1.0, "cheap": 0.5, "discount": 0.5, "free": 0.5, "spam": 1.0, "clickbait": 1.0,
-}
+    term: weight
+    for weight, terms in (
+        (1.0, "adult sex sexy nude naked erotic erotica betting poker gambling jackpot roulette blackjack sportsbet pills steroids torrent torrents crack spam clickbait"),
+        (0.5, "dating hookup singles cam bet bets slots bonus loan loans payday credit refinance pharmacy replica replicas cheap discount free winner prize lottery bitcoin forex followers"),
+        (1.0, "erotique nue nues paris-sportifs jeux-argent pilules casse"),
+        (0.5, "rencontre rencontres gratuit gratuits pret credits remise gagnant loterie contrefacon"),
+        (1.0, "erotik nackt nackte sportwetten gluecksspiel spielautomaten wetten potenzmittel"),
+        (0.5, "kontakte gratis kredit kredite sofortkredit billig rabatt gewinnspiel lotto faelschung"),
+        (1.0, "erotico desnuda desnudas apuestas tragaperras ruleta pastillas"),
+        (0.5, "citas solteras prestamo prestamos barato descuento ganador loteria replicas-relojes"),
+    )
+    for term in terms.split()
+}
 SOFT_LIMIT = 2.0
 
 _LOWER = {i: i + 32 for i in range(65, 91)}

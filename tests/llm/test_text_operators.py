@@ -156,7 +156,12 @@ def test_guess_cost_is_a_minimum():
         (None, "", "", None, "allow"),
         ("example.org/es/", "", "", None, "allow"),
         ("https://WWW.Example.ORG/es/1?x=/a", "www.example.org", "/es/1", "example.org/es/", "block"),
-        ("https://example.org/en/12", "example.org", "/en/12", "example.org/en/1", "allow"),
+        ("https://example.org/en/12", "example.org", "/en/12", "example.org/en/1", "block"),
+        ("https://example.org/en/1", "example.org", "/en/1", "example.org/en/1", "block"),
+        ("https://m.example.org/en/", "m.example.org", "/en/", "org/", "allow"),
+        ("http://shop.example.com/fr/de/1", "shop.example.com", "/fr/de/1", "com/fr/", "allow"),
+        ("http://a.net/sportwetten/jackpot", "a.net", "/sportwetten/jackpot", None, "block"),
+        ("http://a.net/sportwetten/gratis", "a.net", "/sportwetten/gratis", None, "allow"),
         ("https://example.org/en/2", "example.org", "/en/2", "org/", "allow"),
         ("http://notexample.org", "notexample.org", "", None, "allow"),
         ("http://a.com/de/x#y", "a.com", "/de/x", "com/de/", "block"),
