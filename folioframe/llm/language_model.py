@@ -1,20 +1,24 @@
 """Scores of texts by a log-bilinear language model trained with noise-contrastive estimation.
 
-Tokens are lower-cased words and an end of text. The most frequent words are classes of their own, all others share the
-class of rare words, within which a word's share is its smoothed count: so every text has a probability, words never
-seen included. The model predicts a class from the two before it: a vector for each context class and place, their sum
-times the class's own vector, plus a bias. Each task trains on all its training texts in one pass, from a common start
-(class triples of a slice are counted first, then fitted by Adagrad against noise classes drawn from the classes'
-frequencies), and the tasks' parameters are averaged by their tokens. As contexts are pairs of classes, the logarithm
-of every context's normaliser is a table of fixed size, made by batched matrix products; what a token's log-probability
-takes is then a few look-ups.
+Tokens are lower-cased words and an end of text. The WORDS most frequent words are units of their own, and each of the
+TOP most frequent is a class of its own; every other word belongs to the class of its ending (its last three bytes), in
+which the words that aren't units share one more unit, the class's tail. The model predicts a token's class from the two
+units before it, then its unit among those of the class: the two contexts' vectors, added, times the vector of the class
+or unit, plus a bias. Batched matrix products give both normalisers, so every text has a probability; within a tail a
+word's share is its smoothed count, words never seen included.
+
+Training is one pass over the training texts in ROUNDS rounds. A round's texts are dealt to parts by a hash of id and
+text, as many parts as their tokens need, whatever files they come from; each part starts from the last round's
+parameters and goes through its tokens in the hash's order, in batches of a fixed size, with Adagrad, against noise
+classes and, within the class, noise units. The parts' changes are then averaged, each entry's by how much its part had
+to say about it. So the same rows give the same model however they are partitioned, up to rounding.
 
 Counts of all training words stay distributed. Only words frequent enough for a table of at most FREQUENT entries
 travel to the executors; the counts of the others are joined by word.
 
 Defined results: a null text counts as empty, whose only token is its end; rows whose fold can't be told (null id) are
-scored and not learned from; repeated rows are scored each for itself; without any training text every token's base is
-log10(0.1 / 0.1) = 0. Words are told apart by 64-bit hashes.
+scored and not learned from; repeated rows are scored, and learned from, each for itself; without any training text
+every token's base is log10(0.1 / 0.1) = 0. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -29,237 +33,406 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.llm.textkit import Words, scan, signed, slices
+from folioframe.llm.textkit import Words, mix, scan, signed, slices
 from folioframe.operators.tables import stored
 
-CLASSES = 512
+WORDS = 8192
+TOP = 31
+ENDINGS = 96
 DIM = 16
-NOISE = 48
-BATCH = 4096
-EPOCHS = 2
-RATE = 0.15
+NOISE, UNIT_NOISE = 32, 2
+BATCH = 1024
+RATE = 0.2
+ROUNDS = 4
+#: Training tokens of a part in one round, and how many of them are put in random order at once.
+PART_TOKENS = 1 << 20
+SHUFFLED = 1 << 17
 FREQUENT = 1 << 19
 SMOOTH = 0.1
-RARE, END = 0, 1  # classes; the frequent words follow. As a context, class `classes` stands before the text.
+END = 0  # the class of the end of a text
+BLOCK = 1 << 16
 
 
-@dataclass
-class Parameters:
-    first: np.ndarray  # vectors of the class just before
-    second: np.ndarray  # and of the one before that
-    target: np.ndarray
-    bias: np.ndarray
-
-    @staticmethod
-    def start(classes: int, dim: int, noise: np.ndarray, seed: int = 5) -> Parameters:
-        draw = np.random.default_rng(seed).normal
-        return Parameters(draw(0, 0.1, (classes + 1, dim)), draw(0, 0.1, (classes + 1, dim)), draw(0, 0.1, (classes, dim)), np.log(noise))
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([self.first.ravel(), self.second.ravel(), self.target.ravel(), self.bias])
-
-    @staticmethod
-    def of(flat: np.ndarray, classes: int, dim: int) -> Parameters:
-        a, b = (classes + 1) * dim, classes * dim
-        return Parameters(flat[:a].reshape(-1, dim), flat[a : 2 * a].reshape(-1, dim), flat[2 * a : 2 * a + b].reshape(-1, dim), flat[2 * a + b :])
-
-
-class Trainer:
-    """Noise-contrastive estimation over weighted class triples."""
-
-    def __init__(self, p: Parameters, noise: np.ndarray, seed: int):
-        self.p, self.noise, self.rng = p, noise, np.random.default_rng(seed)
-        self.squares = [np.full_like(x, 1e-3) for x in (p.first, p.second, p.target, p.bias)]
-
-    def _step(self, i: int, x: np.ndarray, grad: np.ndarray) -> None:
-        self.squares[i] += grad * grad
-        x += RATE * grad / np.sqrt(self.squares[i])
-
-    def batch(self, c1: np.ndarray, c2: np.ndarray, w: np.ndarray, weight: np.ndarray) -> None:
-        p, k = self.p, NOISE
-        drawn = self.rng.choice(len(self.noise), k, p=self.noise)
-        log_noise = np.log(k * self.noise)
-        r = p.first[c1] + p.second[c2]
-        q = p.target[w]
-        true = (r * q).sum(1) + p.bias[w] - log_noise[w]
-        up = weight / (1 + np.exp(np.clip(true, -50, 50)))
-        false = r @ p.target[drawn].T + p.bias[drawn] - log_noise[drawn]
-        down = -weight[:, None] / (1 + np.exp(-np.clip(false, -50, 50)))
-        total = weight.sum()
-        dr = (up[:, None] * q + down @ p.target[drawn]) / total
-        n = len(self.noise)
-        add = lambda at, rows, size: np.stack([np.bincount(at, rows[:, j], size) for j in range(rows.shape[1])], 1)
-        dq = add(w, up[:, None] * r / total, n) + add(drawn, down.T @ r / total, n)
-        db = (np.bincount(w, up, n) + np.bincount(drawn, down.sum(0), n)) / total
-        d1, d2 = add(c1, dr, n + 1), add(c2, dr, n + 1)
-        for i, (x, g) in enumerate(((p.first, d1), (p.second, d2), (p.target, dq), (p.bias, db))):
-            self._step(i, x, g)
-
-    def fit(self, triples: np.ndarray, counts: np.ndarray, epochs: int = EPOCHS) -> None:
-        m = len(self.noise) + 1
-        for _ in range(epochs):
-            order = self.rng.permutation(len(triples))
-            for lo in range(0, len(order), BATCH):
-                at = order[lo : lo + BATCH]
-                t = triples[at]
-                self.batch(t // m % m, t // (m * m), t % m, counts[at].astype(np.float64))
-
-
-@dataclass
-class Tables:
-    """Log10-probabilities of classes: by look-up."""
-
-    first: np.ndarray  # [class before, class]: its part of the score, with the class's bias
-    second: np.ndarray
-    log_z: np.ndarray  # [class before, the one before that]
-
-    @staticmethod
-    def of(p: Parameters) -> Tables:
-        first, second = p.first @ p.target.T + p.bias, p.second @ p.target.T
-        log_z = np.empty((len(first), len(second)))
-        for c in range(len(first)):  # one batch of contexts: all that share the class just before
-            s = first[c] + second
-            top = s.max(1)
-            log_z[c] = top + np.log(np.exp(s - top[:, None]).sum(1))
-        ln10 = math.log(10)
-        return Tables((first / ln10).astype(np.float32), (second / ln10).astype(np.float32), (log_z / ln10).astype(np.float32))
-
-    def log10(self, c1: np.ndarray, c2: np.ndarray, w: np.ndarray) -> np.ndarray:
-        return (self.first[c1, w] + self.second[c2, w] - self.log_z[c1, c2]).astype(np.float64)
-
-
-def sequences(w: Words, word_class: np.ndarray, rows: int, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Class before, class before that, class, and row of every token, the ends included, in order."""
-    at = w.first + np.arange(rows + 1)  # where each row begins among the tokens
-    token = np.full(at[-1], END, np.int64)
-    place = np.arange(len(word_class)) + w.row
-    token[place] = word_class
-    row = np.repeat(np.arange(rows), np.diff(at))
-    c1, c2 = np.full(len(token), classes, np.int64), np.full(len(token), classes, np.int64)
-    c1[1:], c2[2:] = token[:-1], token[:-2]
-    c1[at[:-1]] = classes
-    c2[at[:-1]] = classes
-    second = at[:-1] + 1
-    c2[second[second < at[1:]]] = classes
-    return c1, c2, token, row
+def endings(data: np.ndarray, w: Words, n: int) -> np.ndarray:
+    """Which of n kinds of ending each word has."""
+    key = np.zeros(len(w.end), np.uint64)
+    for i in range(1, 4):
+        at = np.maximum(w.end - i, 0)
+        byte = data[at]
+        byte = np.where((byte >= 65) & (byte <= 90), byte + 32, byte)
+        key = key << np.uint64(8) | np.where(w.end - i >= w.start, byte, 0).astype(np.uint64)
+    return (mix(key) % np.uint64(n)).astype(np.int64)
 
 
 @dataclass
 class Vocabulary:
-    """Sorted hashes of the frequent words, their counts and classes; totals over all training tokens."""
+    """Sorted hashes of the frequent words with their counts, units (-1: in a tail) and classes; units by class; totals."""
 
     hash: np.ndarray
     count: np.ndarray
+    unit: np.ndarray
     word_class: np.ndarray
-    class_count: np.ndarray
+    words: int  # units that are words; the tails of the classes follow, then the start of a text (a context only)
+    top: int
+    endings: int
+    unit_class: np.ndarray
+    unit_count: np.ndarray
+    tail_tokens: np.ndarray  # by class
+    tail_distinct: np.ndarray
     tokens: int  # N
     distinct: int  # V
     ends: int
-    rare_tokens: int
-    rare_distinct: int
 
-    def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts (-1: not in the table) and classes of words, looked up once for each distinct one."""
-        u, inverse = np.unique(h, return_inverse=True)
+    @property
+    def classes(self) -> int:
+        return len(self.tail_tokens)
+
+    @property
+    def start(self) -> int:
+        return self.words + self.classes
+
+    def look(self, h: np.ndarray, ending: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts (-1: not in the table), units and classes of words."""
+        word_class = 1 + self.top + ending
         if not len(self.hash):
-            return np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
+            return np.full(len(h), -1, np.int64), self.words + word_class, word_class
+        u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self.hash, u), len(self.hash) - 1)
         hit = self.hash[at] == u
-        return np.where(hit, self.count[at], -1)[inverse], np.where(hit, self.word_class[at], RARE)[inverse]
+        own = np.where(hit, self.word_class[at], word_class[first])
+        unit = np.where(hit, self.unit[at], -1)
+        return np.where(hit, self.count[at], -1)[inverse], np.where(unit < 0, self.words + own, unit)[inverse], own[inverse]
 
+    def tail_share(self) -> np.ndarray:
+        """log10 of what the smoothed counts of a class's tail add up to."""
+        return np.log10(self.tail_tokens + SMOOTH * (self.tail_distinct + 1))
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """h and c of every word of the training rows; the rows of null h count texts."""
+
+def word_counts(rows: DataFrame, kinds: int = ENDINGS) -> DataFrame:
+    """h, k (kind of ending) and c of every word of the training rows; the row of null h counts texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, data, offsets in slices(b.filter(b.column("train")) for b in batches):
-            h, c = np.unique(scan(data, offsets, lower=True).hash, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(signed(h)), pa.nulls(1, pa.int64())]), pa.array(np.append(c, b.num_rows).astype(np.int64))], names=["h", "c"])
+            w = scan(data, offsets, lower=True)
+            h, first, c = np.unique(w.hash, return_index=True, return_counts=True)
+            k = endings(data, w, kinds)[first]
+            cols = [pa.concat_arrays([pa.array(signed(h)), pa.nulls(1, pa.int64())]), pa.array(np.append(k, -1).astype(np.int32)), pa.array(np.append(c, b.num_rows).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, names=["h", "k", "c"])
 
-    return rows.mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
+    return rows.mapInArrow(run, "h bigint, k int, c bigint").groupBy("h").agg(F.max("k").alias("k"), F.sum("c").alias("c"))
 
 
-def vocabulary(counts: DataFrame, classes: int = CLASSES, frequent: int = FREQUENT) -> tuple[Vocabulary, int]:
+def vocabulary(counts: DataFrame, words: int = WORDS, top: int = TOP, kinds: int = ENDINGS, frequent: int = FREQUENT) -> tuple[Vocabulary, int]:
     """The table of frequent words, and the least count that it holds completely."""
-    total = counts.where("h is not null").agg(F.sum("c"), F.count("*")).first()
+    of_words = counts.where("h is not null")
     ends = (counts.where("h is null").agg(F.sum("c")).first()[0]) or 0
     # how many words have each count: the distinct counts are few (m of them need m*m/2 tokens), and only the first matter
-    levels = counts.where("h is not null").groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).limit(frequent).toArrow()
+    levels = of_words.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).limit(frequent).toArrow()
     upto = np.cumsum(levels["n"].to_numpy())
     fits = int(np.searchsorted(upto, frequent, "right"))
     least = int(levels["c"][fits - 1].as_py()) if fits else (int(levels["c"][0].as_py()) + 1 if len(levels) else 1)
-    got = counts.where(F.col("h").isNotNull() & (F.col("c") >= least)).toArrow()  # at most `frequent` rows
-    h, c = got["h"].to_numpy().view(np.uint64), got["c"].to_numpy().astype(np.int64)
-    order = np.argsort(h)
-    h, c = h[order], c[order]
-    word_class = np.zeros(len(h), np.int64)
-    top = np.lexsort((h, -c))[: classes - 2]
-    word_class[top] = np.arange(2, 2 + len(top))
-    class_count = np.zeros(classes)
-    class_count[2 : 2 + len(top)] = c[top]
-    words, distinct = (total[0] or 0), total[1]
-    class_count[RARE], class_count[END] = words - c[top].sum(), ends
-    v = Vocabulary(h, c, word_class, class_count, words + ends, distinct + (ends > 0), ends, int(words - c[top].sum()), distinct - len(top))
+    got = of_words.where(F.col("c") >= least).toArrow()  # at most `frequent` rows
+    order = np.argsort(got["h"].to_numpy().view(np.uint64))
+    h, c, k = (got[x].to_numpy()[order] for x in ("h", "c", "k"))
+    h, c, k = h.view(np.uint64), c.astype(np.int64), k.astype(np.int64)
+    best = np.lexsort((h, -c))[:words]
+    words, top = len(best), min(top, len(best))
+    unit = np.full(len(h), -1, np.int64)
+    unit[best] = np.arange(words)
+    word_class = 1 + top + k
+    word_class[best[:top]] = 1 + np.arange(top)
+    classes = 1 + top + kinds
+    tail_tokens, tail_distinct = np.zeros(classes, np.int64), np.zeros(classes, np.int64)
+    for r in of_words.groupBy("k").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():  # a row for each kind of ending
+        tail_tokens[1 + top + r["k"]], tail_distinct[1 + top + r["k"]] = r["c"], r["n"]
+    total, distinct = int(tail_tokens.sum()), int(tail_distinct.sum())
+    np.subtract.at(tail_tokens, 1 + top + k[best], c[best])
+    np.subtract.at(tail_distinct, 1 + top + k[best], 1)
+    unit_class = np.concatenate([word_class[best], np.arange(classes)])
+    tails = tail_tokens + SMOOTH
+    tails[: 1 + top] = 0  # the classes of single words have no tail, and the end of a text stands in its class's
+    tails[END] = ends + SMOOTH
+    v = Vocabulary(h, c, unit, word_class, words, top, kinds, unit_class, np.concatenate([c[best], tails]), tail_tokens, tail_distinct, total + ends, distinct + (ends > 0), ends)
     return v, least
 
 
-def train(rows: DataFrame, v: Vocabulary, dim: int = DIM) -> Parameters:
-    """Parameters averaged over all tasks, each weighted with its training tokens."""
-    classes = len(v.class_count)
-    noise = (v.class_count + 1) / (v.class_count + 1).sum()
-    shared = rows.sparkSession.sparkContext.broadcast((v, noise))
+@dataclass
+class Parameters:
+    first: np.ndarray  # vectors of the unit just before
+    second: np.ndarray  # and of the one before that
+    target: np.ndarray  # vectors of the classes
+    bias: np.ndarray
+    unit: np.ndarray  # vectors of the units as members of their class
+    unit_bias: np.ndarray
+
+    @staticmethod
+    def begin(v: Vocabulary, dim: int = DIM, seed: int = 5) -> Parameters:
+        draw = lambda n: np.random.default_rng(seed + n).normal(0, 0.1, (n, dim))
+        by_class = np.bincount(v.unit_class, v.unit_count, v.classes)
+        share = np.log(np.maximum(v.unit_count, 1e-9) / np.maximum(by_class[v.unit_class], 1e-9))
+        arrays = draw(v.start + 1), draw(v.start + 1)[::-1], draw(v.classes), np.log(by_class / by_class.sum()), np.zeros((v.start, dim)), share
+        return Parameters(*(np.array(x, np.float32) for x in arrays))
+
+    def arrays(self) -> list[np.ndarray]:
+        return [self.first, self.second, self.target, self.bias, self.unit, self.unit_bias]
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in self.arrays()])
+
+    def like(self, flat: np.ndarray) -> Parameters:
+        out, at = [], 0
+        for x in self.arrays():
+            out.append(flat[at : at + x.size].reshape(x.shape).astype(np.float32))
+            at += x.size
+        return Parameters(*out)
+
+
+class Layout:
+    """What the units of each class are, for drawing noise and for normalising."""
+
+    def __init__(self, v: Vocabulary):
+        self.start, self.unit_class, self.classes = v.start, v.unit_class, v.classes
+        count = v.unit_count
+        self.by_class = np.bincount(v.unit_class, count, v.classes)
+        self.noise = self.by_class / self.by_class.sum()
+        self.members = [np.flatnonzero((v.unit_class == k) & (count > 0)) for k in range(v.classes)]
+        self.place = np.zeros(v.start, np.int64)
+        for own in self.members:
+            self.place[own] = np.arange(len(own))
+        self.single = np.array([len(own) < 2 for own in self.members])
+        self.order = np.argsort(v.unit_class, kind="stable")
+        self.upto = np.cumsum(count[self.order])
+        self.begins = np.concatenate([[0.0], np.cumsum(self.by_class)[:-1]])
+        self.log_noise = np.log(NOISE * self.noise).astype(np.float32)
+        self.log_unit = np.log(UNIT_NOISE * np.maximum(count, 1e-9) / self.by_class[v.unit_class]).astype(np.float32)
+
+    def drawn_units(self, word_class: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """UNIT_NOISE units of each class given, by their counts."""
+        z = self.begins[word_class][:, None] + rng.random((len(word_class), UNIT_NOISE)) * self.by_class[word_class][:, None]
+        unit = self.order[np.minimum(np.searchsorted(self.upto, z.ravel(), "right"), len(self.order) - 1)]
+        return unit.reshape(-1, UNIT_NOISE)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+class Trainer:
+    """Noise-contrastive estimation with Adagrad, from parameters and squared gradients that stay as they are."""
+
+    def __init__(self, p: Parameters, squares: Parameters, layout: Layout, seed: tuple[int, ...]):
+        self.p, self.squares = p.like(p.flat()), squares.like(squares.flat())
+        self.layout, self.rng = layout, np.random.default_rng(seed)
+
+    def _step(self, x: np.ndarray, squares: np.ndarray, at: np.ndarray, gradient: np.ndarray) -> None:
+        """Adds up the gradients of each row of x and takes a step along them."""
+        order = np.argsort(at.astype(np.uint16) if len(x) < 1 << 16 else at, kind="stable")
+        sorted_at = at[order]
+        begin = np.flatnonzero(np.concatenate([[True], sorted_at[1:] != sorted_at[:-1]]))
+        rows, g = sorted_at[begin], np.add.reduceat(gradient[order], begin, axis=0)
+        squares[rows] += g * g
+        x[rows] += np.float32(RATE) * g / np.sqrt(squares[rows])
+
+    def batch(self, c1: np.ndarray, c2: np.ndarray, unit: np.ndarray) -> None:
+        p, s, of = self.p, self.squares, self.layout
+        k = of.unit_class[unit]
+        r = p.first[c1] + p.second[c2]
+        drawn = self.rng.choice(of.classes, NOISE, p=of.noise)
+        target = p.target[k]
+        up = 1 - _sigmoid((r * target).sum(1) + p.bias[k] - of.log_noise[k])
+        down = -_sigmoid(r @ p.target[drawn].T + p.bias[drawn] - of.log_noise[drawn])
+        dr = up[:, None] * target + down @ p.target[drawn]
+        at, rows, biases = np.concatenate([k, drawn]), np.concatenate([up[:, None] * r, down.T @ r]), np.concatenate([up, down.sum(0)])
+        several = np.flatnonzero(~of.single[k])
+        if len(several):
+            rs, u = r[several], unit[several]
+            others = of.drawn_units(k[several], self.rng)
+            own, other = p.unit[u], p.unit[others]
+            up2 = 1 - _sigmoid((rs * own).sum(1) + p.unit_bias[u] - of.log_unit[u])
+            down2 = -_sigmoid(np.einsum("nd,nkd->nk", rs, other) + p.unit_bias[others] - of.log_unit[others])
+            dr[several] += up2[:, None] * own + np.einsum("nk,nkd->nd", down2, other)
+            units = np.concatenate([u, others.ravel()])
+            self._step(p.unit, s.unit, units, np.concatenate([up2[:, None] * rs, (down2[:, :, None] * rs[:, None, :]).reshape(-1, rs.shape[1])]))
+            self._step(p.unit_bias, s.unit_bias, units, np.concatenate([up2, down2.ravel()]))
+        self._step(p.target, s.target, at, rows)
+        self._step(p.bias, s.bias, at, biases)
+        self._step(p.first, s.first, c1, dr)
+        self._step(p.second, s.second, c2, dr)
+
+    def fit(self, c1: np.ndarray, c2: np.ndarray, unit: np.ndarray) -> None:
+        order = self.rng.permutation(len(unit))
+        for lo in range(0, len(order), BATCH):
+            at = order[lo : lo + BATCH]
+            self.batch(c1[at], c2[at], unit[at])
+
+
+def log10_of(p: Parameters, layout: Layout, c1: np.ndarray, c2: np.ndarray, unit: np.ndarray, most: int = 4096) -> np.ndarray:
+    """Normalised log10-probabilities of units after their contexts."""
+
+    def normalised(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+        top = s.max(1)
+        return s[np.arange(len(s)), at] - top - np.log(np.exp(s - top[:, None]).sum(1))
+
+    k, out = layout.unit_class[unit], np.zeros(len(unit))
+    for lo in range(0, len(unit), most):
+        at = slice(lo, lo + most)
+        out[at] = normalised((p.first[c1[at]] + p.second[c2[at]]) @ p.target.T + p.bias, k[at])
+    order = np.argsort(k.astype(np.uint16) if layout.classes < 1 << 16 else k, kind="stable")
+    cut = np.searchsorted(k[order], np.arange(layout.classes + 1))
+    for i in np.flatnonzero(~layout.single & (np.diff(cut) > 0)):
+        own = layout.members[i]
+        for lo in range(cut[i], cut[i + 1], most):
+            at = order[lo : min(lo + most, cut[i + 1])]
+            out[at] += normalised((p.first[c1[at]] + p.second[c2[at]]) @ p.unit[own].T + p.unit_bias[own], layout.place[unit[at]])
+    return out / math.log(10)
+
+
+def contexts(first: np.ndarray, units: np.ndarray, row: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Unit before, unit before that, unit and row of every token, the ends included, in order; and where the words are."""
+    rows = len(first) - 1
+    at = first + np.arange(rows + 1)  # where each row begins among the tokens
+    token, place = np.full(at[-1], v.words + END, np.int64), np.arange(len(units)) + row
+    token[place] = units
+    c1, c2 = np.full(len(token), v.start, np.int64), np.full(len(token), v.start, np.int64)
+    c1[1:], c2[2:] = token[:-1], token[:-2]
+    c1[at[:-1]] = v.start
+    c2[at[:-1]] = v.start
+    second = at[:-1] + 1
+    c2[second[second < at[1:]]] = v.start
+    return c1, c2, token, np.repeat(np.arange(rows), np.diff(at)), place
+
+
+def encoded(rows: DataFrame, v: Vocabulary) -> DataFrame:
+    """round, part, key (a hash of id and text) and units (array) of every training text."""
+    parts = max(1, -(-v.tokens // (ROUNDS * PART_TOKENS)))
+    shared = rows.sparkSession.sparkContext.broadcast(v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, noise = shared.value
-        trainer, tokens = Trainer(Parameters.start(classes, dim, noise), noise, 11), 0
-        for b, data, offsets in slices((b.filter(b.column("train")) for b in batches), most=2 << 20):
+        v = shared.value
+        for b, data, offsets in slices(b.filter(b.column("train")) for b in batches):
             w = scan(data, offsets, lower=True)
-            c1, c2, token, _ = sequences(w, v.look(w.hash)[1], b.num_rows, classes)
-            m = classes + 1
-            triples, n = np.unique((c2 * m + c1) * m + token, return_counts=True)
-            trainer.fit(triples, n)
-            tokens += len(token)
-        if tokens:
-            flat = trainer.p.flat()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * tokens), pa.array(np.full(len(flat), tokens, np.int64))], names=["i", "x", "w"])
-
-    summed = rows.mapInArrow(run, "i int, x double, w bigint").groupBy("i").agg(F.sum("x").alias("x"), F.sum("w").alias("w")).orderBy("i").toArrow()
-    if not summed.num_rows:
-        return Parameters.start(classes, dim, noise)
-    return Parameters.of(summed["x"].to_numpy() / summed["w"].to_numpy(), classes, dim)
-
-
-def score_texts(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES, frequent: int = FREQUENT) -> DataFrame:
+            _, unit, _ = v.look(w.hash, endings(data, w, v.endings))
+            key = b.column("key")
+            h = mix(key.to_numpy().view(np.uint64))
+            place = [pa.array((x % np.uint64(n)).astype(np.int32)) for x, n in ((h >> np.uint64(32), ROUNDS), (h & np.uint64(2**32 - 1), parts))]
+            lists = pa.ListArray.from_arrays(pa.array(w.first.astype(np.int32)), pa.array(unit.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*place, key, lists], names=["round", "part", "key", "units"])
+
+    return rows.withColumn("key", F.xxhash64("id", "text")).mapInArrow(run, "round int, part int, key bigint, units array<int>")
+
+
+def _parts(batches: Iterator[pa.RecordBatch], v: Vocabulary) -> Iterator[tuple[int, Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]]:
+    """Of rows sorted by part, each part with its tokens in pieces of SHUFFLED, the last one shorter."""
+    pending: list[pa.RecordBatch] = []
+
+    def more() -> pa.RecordBatch | None:
+        while not pending:
+            b = next(batches, None)
+            if b is None:
+                return None
+            part = b.column("part").to_numpy()
+            cut = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+            pending.extend(b.slice(x, y - x) for x, y in zip(cut, cut[1:]) if y > x)
+        return pending[0]
+
+    def pieces(part: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        held: list[tuple[np.ndarray, ...]] = []
+        n = 0
+        while (b := more()) is not None and b.column("part")[0].as_py() == part:
+            lists = pending.pop(0).column("units")
+            first = lists.offsets.to_numpy().astype(np.int64)
+            units = lists.values.to_numpy()[first[0] : first[-1]].astype(np.int64)
+            first -= first[0]
+            held.append(contexts(first, units, np.repeat(np.arange(len(first) - 1), np.diff(first)), v)[:3])
+            n += len(held[-1][0])
+            if n >= SHUFFLED:
+                whole = [np.concatenate(x) for x in zip(*held)]
+                for lo in range(0, n - SHUFFLED + 1, SHUFFLED):
+                    yield tuple(x[lo : lo + SHUFFLED] for x in whole)
+                held = [tuple(x[n - n % SHUFFLED :] for x in whole)]
+                n %= SHUFFLED
+        if n:
+            yield tuple(np.concatenate(x) for x in zip(*held))
+
+    while (b := more()) is not None:
+        part = b.column("part")[0].as_py()
+        yield part, pieces(part)
+
+
+def train(rows: DataFrame, v: Vocabulary, dim: int = DIM, rounds: int = ROUNDS) -> Parameters:
+    """The parameters after all rounds. What the driver sees of a round is one sum for each parameter."""
+    p = Parameters.begin(v, dim)
+    if not v.tokens:
+        return p
+    squares = p.like(np.full_like(p.flat(), 0.1))
+    context, texts = rows.sparkSession.sparkContext, stored(encoded(rows, v), "units", by=["round"])
+    for r in range(rounds):
+        shared = context.broadcast((v, p, squares))
+
+        def fit(batches: Iterator[pa.RecordBatch], r: int = r, shared=shared) -> Iterator[pa.RecordBatch]:
+            v, p, squares = shared.value
+            layout, old, was = Layout(v), p.flat(), squares.flat()
+            for part, pieces in _parts(batches, v):
+                trainer = Trainer(p, squares, layout, (11, r, part))
+                for piece in pieces:
+                    trainer.fit(*piece)
+                weight = trainer.squares.flat() - was
+                change = (trainer.p.flat() - old) * weight
+                blocks = range(0, len(old), BLOCK)
+                columns = [pa.array([x[lo : lo + BLOCK].tobytes() for lo in blocks], pa.binary()) for x in (change, weight)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([part] * len(blocks), pa.int32()), *columns], names=["block", "part", "change", "weight"])
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, list[np.ndarray]] = {}
+            for b in batches:
+                for block, *columns in zip(*(b.column(c).to_pylist() for c in ("block", "change", "weight"))):
+                    new = [np.frombuffer(x, np.float32).astype(np.float64) for x in columns]
+                    sums[block] = [x + y for x, y in zip(sums[block], new)] if block in sums else new
+            for block, (change, weight) in sums.items():  # a task has few blocks: all of them together are the parameters
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([change.tobytes()], pa.binary()), pa.array([weight.tobytes()], pa.binary())], names=["block", "change", "weight"])
+
+        own = texts.where(F.col("round") == r).select("part", "key", "units").repartition("part").sortWithinPartitions("part", "key")
+        parts = stored(own.mapInArrow(fit, "block int, part int, change binary, weight binary"), "changes")
+        got = parts.repartition("block").sortWithinPartitions("block", "part").mapInArrow(add, "block int, change binary, weight binary").orderBy("block").toArrow()
+        if got.num_rows:
+            change, weight = (np.concatenate([np.frombuffer(x, np.float64) for x in got[c].to_pylist()]) for c in ("change", "weight"))
+            p, squares = p.like(p.flat() + change / np.maximum(weight, 1e-20)), squares.like(squares.flat() + weight)
+    return p
+
+
+def score_texts(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, frequent: int = FREQUENT) -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score and score of every text; the model learns from the rows that
     train_on picks."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.coalesce(train_on, F.lit(False)).alias("train"))
     counts = stored(word_counts(rows), "counts")
-    v, least = vocabulary(counts, classes, frequent)
-    tables = Tables.of(train(rows, v))
-    shared = rows.sparkSession.sparkContext.broadcast((v, tables))
+    v, least = vocabulary(counts, words, frequent=frequent)
+    shared = rows.sparkSession.sparkContext.broadcast((v, train(rows, v)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, tables = shared.value
+        v, p = shared.value
+        layout, share = Layout(v), v.tail_share()
         uid = TaskContext.get().partitionId() << 40
-        names = ["uid", "id", "h", "n", "known", "base", "model", "rare"]
+        names = ["uid", "id", "h", "n", "known", "base", "model"]
         end = math.log10(v.ends + SMOOTH)
         for b, data, offsets in slices(batches):
             w = scan(data, offsets, lower=True)
-            count, word_class = v.look(w.hash)
+            count, unit, word_class = v.look(w.hash, endings(data, w, v.endings))
             rows = b.num_rows
             n = np.diff(w.first) + 1
-            c1, c2, token, row = sequences(w, word_class, rows, classes)
-            model = np.bincount(row, tables.log10(c1, c2, token), rows)
+            c1, c2, token, row, _ = contexts(w.first, unit, w.row, v)
+            model = np.bincount(row, log10_of(p, layout, c1, c2, token), rows)
             there = count >= 0
             logs = np.log10(np.where(there, count, 0) + SMOOTH)
             base = np.bincount(w.row[there], logs[there], rows) + end
-            rare = there & (word_class == RARE)
+            rare = unit >= v.words
+            model -= np.bincount(w.row[rare], share[word_class[rare]], rows)
+            rare &= there
             model += np.bincount(w.row[rare], logs[rare], rows)
             known = np.bincount(w.row[there], minlength=rows) + (v.ends > 0)
             ids = uid + np.arange(rows)
             some = pa.nulls(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(ids), b.column("id"), some, pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(model), pa.array(np.bincount(w.row[word_class == RARE], minlength=rows).astype(np.int64))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), b.column("id"), some, pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(model)], names=names)
             at = np.flatnonzero(~there)  # words that aren't in the table: to be looked up by a join
             order = at[np.lexsort((w.hash[at], w.row[at]))]
             h, r = w.hash[order], w.row[order]
@@ -267,14 +440,14 @@ def score_texts(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_
             times = np.diff(np.append(new, len(h)))
             zero, void = pa.array(np.zeros(len(new), np.int64)), pa.nulls(len(new), b.column("id").type)
             nothing = pa.array(np.zeros(len(new)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[r[new]]), void, pa.array(signed(h[new])), pa.array(times.astype(np.int64)), zero, nothing, nothing, zero], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[r[new]]), void, pa.array(signed(h[new])), pa.array(times.astype(np.int64)), zero, nothing, nothing], names=names)
             uid += rows
 
-    parts = stored(rows.mapInArrow(run, f"uid bigint, id {kind}, h bigint, n bigint, known bigint, base double, model double, rare bigint"), "scores")
+    parts = stored(rows.mapInArrow(run, f"uid bigint, id {kind}, h bigint, n bigint, known bigint, base double, model double"), "scores")
     others = counts.where(F.col("h").isNotNull() & (F.col("c") < least))
     looked = parts.where("h is not null").select("uid", "h", F.col("n").alias("times")).join(others, "h", "left")
     more = looked.groupBy("uid").agg(F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(SMOOTH))).alias("more"), F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("also"))
-    per_token, per_rare = math.log10(v.tokens + SMOOTH * (v.distinct + 1)), math.log10(v.rare_tokens + SMOOTH * (v.rare_distinct + 1))
+    per_token = math.log10(v.tokens + SMOOTH * (v.distinct + 1))
     extra = F.coalesce("more", F.lit(0.0))
     return parts.where("h is null").join(more, "uid", "left").select(
         F.col("id").alias(id_col),
@@ -282,5 +455,5 @@ def score_texts(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_
         (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"),
         F.lit(v.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + extra - F.col("n") * per_token).alias("base_score"),
-        (F.col("model") + extra - F.col("rare") * per_rare).alias("score"),
+        (F.col("model") + extra).alias("score"),
     )
