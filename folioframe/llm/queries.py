@@ -48,7 +48,8 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.digest(secret_scan.find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    words = secret_scan.ranked_words(public_tokenizers.path("word_bpe_49k.json"), [public_tokenizers.path("byte_bpe_multi_50k.tiktoken")])
+    return secret_scan.digest(secret_scan.find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=words))
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
