@@ -41,8 +41,8 @@ TOP = 31
 ENDINGS = 96
 DIM = 16
 NOISE, UNIT_NOISE = 32, 2
-BATCH = 1024
-RATE = 0.2
+BATCH = 2048
+RATE = 0.3
 ROUNDS = 4
 #: Training tokens of a part in one round, and how many of them are put in random order at once.
 PART_TOKENS = 1 << 20
@@ -53,14 +53,14 @@ END = 0  # the class of the end of a text
 BLOCK = 1 << 16
 
 
-def endings(data: np.ndarray, w: Words, n: int) -> np.ndarray:
-    """Which of n kinds of ending each word has."""
-    key = np.zeros(len(w.end), np.uint64)
+def endings(data: np.ndarray, w: Words, words: np.ndarray, n: int) -> np.ndarray:
+    """Which of n kinds of ending each of the words (given by index) has."""
+    start, end = w.start[words], w.end[words]
+    key = np.zeros(len(end), np.uint64)
     for i in range(1, 4):
-        at = np.maximum(w.end - i, 0)
-        byte = data[at]
+        byte = data[np.maximum(end - i, 0)]
         byte = np.where((byte >= 65) & (byte <= 90), byte + 32, byte)
-        key = key << np.uint64(8) | np.where(w.end - i >= w.start, byte, 0).astype(np.uint64)
+        key = key << np.uint64(8) | np.where(end - i >= start, byte, 0).astype(np.uint64)
     return (mix(key) % np.uint64(n)).astype(np.int64)
 
 
@@ -91,17 +91,17 @@ class Vocabulary:
     def start(self) -> int:
         return self.words + self.classes
 
-    def look(self, h: np.ndarray, ending: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def look(self, data: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Counts (-1: not in the table), units and classes of words."""
-        word_class = 1 + self.top + ending
-        if not len(self.hash):
-            return np.full(len(h), -1, np.int64), self.words + word_class, word_class
-        u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.hash, u), len(self.hash) - 1)
-        hit = self.hash[at] == u
-        own = np.where(hit, self.word_class[at], word_class[first])
-        unit = np.where(hit, self.unit[at], -1)
-        return np.where(hit, self.count[at], -1)[inverse], np.where(unit < 0, self.words + own, unit)[inverse], own[inverse]
+        u, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
+        count, unit, word_class = np.full(len(u), -1, np.int64), np.full(len(u), -1, np.int64), np.zeros(len(u), np.int64)
+        at = np.searchsorted(self.hash, u)
+        hit = np.flatnonzero(at < len(self.hash))
+        hit = hit[self.hash[at[hit]] == u[hit]]
+        count[hit], unit[hit], word_class[hit] = self.count[at[hit]], self.unit[at[hit]], self.word_class[at[hit]]
+        others = np.flatnonzero(count < 0)
+        word_class[others] = 1 + self.top + endings(data, w, first[others], self.endings)
+        return count[inverse], np.where(unit < 0, self.words + word_class, unit)[inverse], word_class[inverse]
 
     def tail_share(self) -> np.ndarray:
         """log10 of what the smoothed counts of a class's tail add up to."""
@@ -115,7 +115,7 @@ def word_counts(rows: DataFrame, kinds: int = ENDINGS) -> DataFrame:
         for b, data, offsets in slices(b.filter(b.column("train")) for b in batches):
             w = scan(data, offsets, lower=True)
             h, first, c = np.unique(w.hash, return_index=True, return_counts=True)
-            k = endings(data, w, kinds)[first]
+            k = endings(data, w, first, kinds)
             cols = [pa.concat_arrays([pa.array(signed(h)), pa.nulls(1, pa.int64())]), pa.array(np.append(k, -1).astype(np.int32)), pa.array(np.append(c, b.num_rows).astype(np.int64))]
             yield pa.RecordBatch.from_arrays(cols, names=["h", "k", "c"])
 
@@ -266,12 +266,14 @@ class Trainer:
             self.batch(c1[at], c2[at], unit[at])
 
 
-def log10_of(p: Parameters, layout: Layout, c1: np.ndarray, c2: np.ndarray, unit: np.ndarray, most: int = 4096) -> np.ndarray:
+def log10_of(p: Parameters, layout: Layout, c1: np.ndarray, c2: np.ndarray, unit: np.ndarray, most: int = 1024) -> np.ndarray:
     """Normalised log10-probabilities of units after their contexts."""
 
     def normalised(s: np.ndarray, at: np.ndarray) -> np.ndarray:
-        top = s.max(1)
-        return s[np.arange(len(s)), at] - top - np.log(np.exp(s - top[:, None]).sum(1))
+        if len(s) and (top := s.max()) > 60:  # exp of a float would overflow
+            s -= s.max(1)[:, None] if top > 80 else top / 2
+        own = s[np.arange(len(s)), at]
+        return own - np.log(np.exp(s, out=s).sum(1))
 
     k, out = layout.unit_class[unit], np.zeros(len(unit))
     for lo in range(0, len(unit), most):
@@ -311,7 +313,7 @@ def encoded(rows: DataFrame, v: Vocabulary) -> DataFrame:
         v = shared.value
         for b, data, offsets in slices(b.filter(b.column("train")) for b in batches):
             w = scan(data, offsets, lower=True)
-            _, unit, _ = v.look(w.hash, endings(data, w, v.endings))
+            _, unit, _ = v.look(data, w)
             key = b.column("key")
             h = mix(key.to_numpy().view(np.uint64))
             place = [pa.array((x % np.uint64(n)).astype(np.int32)) for x, n in ((h >> np.uint64(32), ROUNDS), (h & np.uint64(2**32 - 1), parts))]
@@ -417,7 +419,7 @@ def score_texts(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_
         end = math.log10(v.ends + SMOOTH)
         for b, data, offsets in slices(batches):
             w = scan(data, offsets, lower=True)
-            count, unit, word_class = v.look(w.hash, endings(data, w, v.endings))
+            count, unit, word_class = v.look(data, w)
             rows = b.num_rows
             n = np.diff(w.first) + 1
             c1, c2, token, row, _ = contexts(w.first, unit, w.row, v)
