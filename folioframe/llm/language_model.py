@@ -40,9 +40,9 @@ WORDS = 8192
 TOP = 31
 ENDINGS = 96
 DIM = 16
-NOISE, UNIT_NOISE = 32, 2
+NOISE, UNIT_NOISE = 32, 1
 BATCH = 2048
-RATE = 0.3
+RATE = 0.2
 ROUNDS = 4
 #: Training tokens of a part in one round, and how many of them are put in random order at once.
 PART_TOKENS = 1 << 20
