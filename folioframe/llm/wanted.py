@@ -1,4 +1,4 @@
-"""Work on the texts of some documents only, without shuffling any text."""
+"""Work on the texts of some documents only, without shuffling any text; and one text for each id."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.llm.textkit import slices
+from folioframe.operators.tables import stored
 
 #: Bits of the bitmap that tells which documents are wanted.
 FILTER_BITS = 22
@@ -38,3 +39,14 @@ def of_wanted(rows: DataFrame, ids: DataFrame, of_slice: Callable[[pa.RecordBatc
             yield of_slice(b, data, offsets)
 
     return rows.where("id is not null").withColumn("x", bucket).mapInArrow(run, schema)
+
+
+def one_text_each(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """The rows (id, text) with one text for each id, the one of the least hash; and whether any id was repeated. Rows of
+    equal id and text all stay, and so do those without an id. Without repeated ids nothing but ids is shuffled."""
+    many = stored(rows.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated")
+    if not many.limit(1).count():
+        return rows, False
+    own = rows.withColumn("h", F.xxhash64("text"))
+    least = stored(own.join(many, "id", "left_semi").groupBy("id").agg(F.min("h").alias("least")), "chosen")
+    return own.join(least, "id", "left").where("least is null or h = least").select("id", "text"), True
