@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from folioframe.llm.textkit import text_slices
 
 LONG = 192
-CACHE = 400_000
+#: Bytes of pieces, with their ids, that a worker remembers; longer pieces than LONG are never remembered.
+CACHE = 64 << 20
 _NONE = np.int32(2**31 - 1)
 
 
@@ -86,6 +87,7 @@ class Codec:
         table = np.array(found, np.int64).reshape(-1, 3)
         self.pairs = Pairs(table[:, 0], table[:, 1], table[:, 2].astype(np.int32))
         self.cache: dict[str, bytes] = {}
+        self.cached = 0
 
     def _bucket(self, rows: list[bytes]) -> list[bytes]:
         """Ids of rows of about the same length, packed as little-endian unsigned 32-bit integers."""
@@ -166,13 +168,19 @@ class Codec:
         split = [self.split(t) for t in texts]
         distinct = set().union(*split) if split else set()
         new = distinct - self.cache.keys()
-        if len(self.cache) + len(new) > CACHE:
+        if self.cached > CACHE:
             self.cache.clear()
-            new = distinct
+            self.cached, new = 0, distinct
         fresh = sorted(new)
         self.cache.update(zip(fresh, self.encode_pieces(fresh)))
         get = self.cache.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        out = [b"".join(map(get, s)) for s in split]
+        for p in fresh:
+            if len(p) > LONG:
+                del self.cache[p]
+            else:
+                self.cached += 4 * len(p) + len(self.cache[p])
+        return out
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(packed, "<u4").tolist()))

@@ -17,7 +17,9 @@ reach the overlap their sizes ask for are dropped. Three things keep the product
 
 Defined results: A-Z are lower-cased; a null text, or one without words, has an empty set, is linked with nothing and
 is its own component; a text of fewer words than n has one n-gram, its whole sequence; copies are one class; an empty
-table gives no rows; a null id is a row with a null component. N-grams are compared by 64-bit hashes.
+table gives no rows; a null id is a row with a null component, and links nothing, whatever its text; the rows of one id
+are one document, whose text is the one of the least hash, and each of them gets that document's row. N-grams are
+compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -27,12 +29,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioframe.llm.components import components
 from folioframe.llm.textkit import grams, mix, scan, signed, slices, whole
-from folioframe.llm.wanted import of_wanted
+from folioframe.llm.wanted import of_wanted, one_text_each
 from folioframe.operators.tables import stored
 
 #: Counters for the columns' frequencies.
@@ -187,7 +189,8 @@ def jaccard_groups(docs: DataFrame, k: int = 5, threshold: Threshold = Threshold
     """id, n_shingles (the set's size) and component_id (the smallest id that links reach) of every document. More
     sketch_bits (up to 24 or so: eight bytes for each counter are broadcast) tell frequent columns apart in a larger
     corpus; the result is the same."""
-    t, rows = threshold, _texts(docs, id_col, text_col)
+    t, every = threshold, _texts(docs, id_col, text_col)
+    rows, repeated = one_text_each(every)
     of_doc, hits = profile(rows, k, sketch_bits)
     got = hits.toArrow()  # 2**sketch_bits rows at most
     counters = np.zeros(1 << sketch_bits, np.int64)
@@ -201,12 +204,22 @@ def jaccard_groups(docs: DataFrame, k: int = 5, threshold: Threshold = Threshold
         labels = components(links.union(more))
     group = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
     out = of_doc.join(group, ["n", "s1", "s2"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    out = out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+    if repeated:
+        out = every.select("id").where("id is not null").join(out.dropDuplicates(["id"]), "id").union(out.where("id is null"))
+    return out.withColumnRenamed("id", id_col)
 
 
 def one_of_each(docs: DataFrame, k: int = 5, threshold: Threshold = Threshold(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that are the first of their group, with the columns they came with; of repeated ids one row. Rows
-    with a null id belong to no group and stay."""
-    first = jaccard_groups(docs, k, threshold, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).cast(docs.schema[id_col].dataType).alias("__first"))
-    kept = docs.join(first.distinct(), docs[id_col] == F.col("__first"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(docs[id_col].isNull()))
+    """The documents that are the first of their group, with the columns they came with; of repeated ids the row whose
+    text's hash is least. Rows with a null id belong to no group and stay."""
+    groups = jaccard_groups(docs, k, threshold, id_col, text_col)
+    # the ids to drop are the fewer; as a table their size is known, so a small one is broadcast and no text is shuffled
+    gone = stored(groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct(), "gone")
+    kept = docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    if not one_text_each(_texts(docs, id_col, text_col))[1]:
+        return kept
+    named = kept.where(kept[id_col].isNotNull())
+    one = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
+    named = named.withColumn("__row", F.row_number().over(one)).where("__row = 1").drop("__row")
+    return named.unionByName(kept.where(kept[id_col].isNull()))

@@ -2,12 +2,13 @@
 
 A document is the average of learned vectors of its words and character n-grams, which share a table by hash (a word
 that repeats the one before it adds one more feature); a softmax layer tells the classes apart. Table and layer are trained by stochastic gradient descent in numpy, on the driver, on
-at most MAX_TRAIN labelled documents (taken by the order of a hash of their ids, so the sample is the same whenever the
-rows are). Scoring needs only each feature's share in the difference of the two logits, one number for each bucket, so
+at most MAX_TRAIN labelled documents of MAX_BYTES of text together (taken by the order of a hash of their ids, so the
+sample is the same whenever the rows are). Scoring needs only each feature's share in the difference of the two logits, one number for each bucket, so
 what travels to the executors has a fixed size whatever the corpus.
 
 Defined results: a null text counts as empty; a text without features gets the prior of the layer's bias; without any
-usable label every score is 0.5; labels other than 0 and 1 are not used; repeated rows are scored each for itself.
+usable label every score is 0.5; labels other than 0 and 1 are not used; of an id's conflicting labels 1 counts, and of
+its texts the one of the least hash is learned from; repeated rows are scored each for itself. Ids may be of any type.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.llm.textkit import mix, text_slices
+from folioframe.operators.tables import stored
 
 BITS = 18
 DIM = 16
 NGRAMS = (3, 4)
 MAX_TRAIN = 8000
+MAX_BYTES = 64 << 20
 EPOCHS = 12
 RATE = 4.0
 SEED = 7
@@ -122,11 +125,17 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, dim:
     return Model((table @ (layer[:, 1] - layer[:, 0])).astype(np.float64), float(bias[1] - bias[0]), bits, ngrams)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN, bits: int = BITS, ngrams: tuple[int, ...] = NGRAMS) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """Feature counts of at most max_train labelled documents."""
+def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN, max_bytes: int = MAX_BYTES, bits: int = BITS, ngrams: tuple[int, ...] = NGRAMS) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """Feature counts of at most max_train labelled documents, of max_bytes of text together."""
     usable = labels.where(labels[label_col].isin(0, 1)).groupBy(labels[id_col].alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     chosen = usable.orderBy(F.xxhash64("id"), "id").limit(max_train)  # bounded, so it may be broadcast
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(chosen), "id")
+    rows = stored(rows.groupBy("id").agg(F.max("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text")), "labelled")
+    sizes = rows.select(F.xxhash64("id").alias("h"), "id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).orderBy("h", "id").toArrow()  # max_train rows at most
+    fits = int(np.searchsorted(np.cumsum(sizes["n"].to_numpy()), max_bytes, "right")) if sizes.num_rows else 0
+    if fits < sizes.num_rows:
+        last = sizes.slice(fits, 1).to_pylist()[0]
+        rows = rows.where((F.xxhash64("id") < last["h"]) | ((F.xxhash64("id") == last["h"]) & (F.col("id") < F.lit(last["id"]))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in text_slices(batches):
@@ -138,11 +147,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, id_col: st
             row, cut = key >> bits, np.searchsorted(key >> bits, np.arange(len(texts) + 1))
             bucket = (key & ((1 << bits) - 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([bucket[x:y] for x, y in zip(cut, cut[1:])], pa.list_(pa.int32())), pa.array([count[x:y].astype(np.int32) for x, y in zip(cut, cut[1:])], pa.list_(pa.int32())), b.column("label").cast(pa.int32()), b.column("id").cast(pa.int64())],
+                [pa.array([bucket[x:y] for x, y in zip(cut, cut[1:])], pa.list_(pa.int32())), pa.array([count[x:y].astype(np.int32) for x, y in zip(cut, cut[1:])], pa.list_(pa.int32())), b.column("label").cast(pa.int32()), b.column("id")],
                 names=["bucket", "count", "label", "id"],
             )
 
-    got = rows.mapInArrow(run, "bucket array<int>, count array<int>, label int, id bigint").toArrow().sort_by("id")
+    kind = docs.schema[id_col].dataType.simpleString()
+    got = rows.mapInArrow(run, f"bucket array<int>, count array<int>, label int, id {kind}").toArrow().sort_by("id")
     return [(np.array(b, np.int64), np.array(c, np.float32), y) for b, c, y in zip(got["bucket"].to_numpy(zero_copy_only=False), got["count"].to_numpy(zero_copy_only=False), got["label"].to_pylist())]
 
 

@@ -75,7 +75,8 @@ def test_bpe_equals_library(codec, library, texts):
 
 
 def test_bpe_long_pieces_and_cache(codec, library, monkeypatch):
-    monkeypatch.setattr(byte_bpe, "CACHE", 3)
+    monkeypatch.setattr(byte_bpe, "CACHE", 300)
+    codec.cached = 0
     for t in ["aa" * 700, "é" * 500, " " * 900 + "x", "abcabcabd" * 90, "word " * 50]:
         assert np.frombuffer(codec.encode([t])[0], "<u4").tolist() == library.encode_ordinary(t)
 
@@ -269,6 +270,11 @@ def test_classifier_edges(odd, none, spark):
     labels = spark.createDataFrame([(3, 1), (3, 1), (7, 0), (None, 1), (5, None), (6, 7)], "doc_id long, quality int")
     rows = quality_classifier.training_rows(odd, labels, "quality")
     assert sorted(y for _, _, y in rows) == [0, 1]
+    few = quality_classifier.training_rows(odd, labels, "quality", max_bytes=100)
+    assert len(few) <= 1
+    named = spark.createDataFrame([("a", "one two three"), ("b", "four five"), ("b", "six")], "doc_id string, text string")
+    tags = spark.createDataFrame([("a", 0), ("b", 1), ("b", 0), ("c", 1)], "doc_id string, quality int")
+    assert sorted(y for _, _, y in quality_classifier.training_rows(named, tags, "quality")) == [0, 1]
 
 
 @settings(max_examples=200, deadline=None)
