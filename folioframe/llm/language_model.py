@@ -158,23 +158,20 @@ def vocabulary(counts: DataFrame, words: int = WORDS, top: int = TOP, kinds: int
 
 @dataclass
 class Parameters:
-    first: np.ndarray  # vectors of the unit just before
-    second: np.ndarray  # and of the one before that
-    target: np.ndarray  # vectors of the classes
-    bias: np.ndarray
-    unit: np.ndarray  # vectors of the units as members of their class
-    unit_bias: np.ndarray
+    context: np.ndarray  # vectors of the unit just before, then of the one before that
+    target: np.ndarray  # vectors of the classes, their biases in the last column
+    unit: np.ndarray  # the same of the units as members of their class
 
     @staticmethod
     def begin(v: Vocabulary, dim: int = DIM, seed: int = 5) -> Parameters:
         draw = lambda n: np.random.default_rng(seed + n).normal(0, 0.1, (n, dim))
         by_class = np.bincount(v.unit_class, v.unit_count, v.classes)
         share = np.log(np.maximum(v.unit_count, 1e-9) / np.maximum(by_class[v.unit_class], 1e-9))
-        arrays = draw(v.start + 1), draw(v.start + 1)[::-1], draw(v.classes), np.log(by_class / by_class.sum()), np.zeros((v.start, dim)), share
-        return Parameters(*(np.array(x, np.float32) for x in arrays))
+        target = np.column_stack([draw(v.classes), np.log(by_class / by_class.sum())])
+        return Parameters(*(np.array(x, np.float32) for x in (draw(2 * (v.start + 1)), target, np.column_stack([np.zeros((v.start, dim)), share]))))
 
     def arrays(self) -> list[np.ndarray]:
-        return [self.first, self.second, self.target, self.bias, self.unit, self.unit_bias]
+        return [self.context, self.target, self.unit]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self.arrays()])
@@ -186,6 +183,12 @@ class Parameters:
             at += x.size
         return Parameters(*out)
 
+    def of(self, c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
+        """Vectors of contexts, with a 1 for the bias."""
+        out = np.ones((len(c1), self.context.shape[1] + 1), np.float32)
+        np.add(self.context[c1], self.context[c2 + len(self.context) // 2], out=out[:, :-1])
+        return out
+
 
 class Layout:
     """What the units of each class are, for drawing noise and for normalising."""
@@ -202,6 +205,8 @@ class Layout:
         self.single = np.array([len(own) < 2 for own in self.members])
         self.order = np.argsort(v.unit_class, kind="stable")
         self.upto = np.cumsum(count[self.order])
+        self.upto_class = np.cumsum(self.noise)
+        self.upto_class[-1] = 1.0
         self.begins = np.concatenate([[0.0], np.cumsum(self.by_class)[:-1]])
         self.log_noise = np.log(NOISE * self.noise).astype(np.float32)
         self.log_unit = np.log(UNIT_NOISE * np.maximum(count, 1e-9) / self.by_class[v.unit_class]).astype(np.float32)
@@ -230,34 +235,33 @@ class Trainer:
         sorted_at = at[order]
         begin = np.flatnonzero(np.concatenate([[True], sorted_at[1:] != sorted_at[:-1]]))
         rows, g = sorted_at[begin], np.add.reduceat(gradient[order], begin, axis=0)
-        squares[rows] += g * g
-        x[rows] += np.float32(RATE) * g / np.sqrt(squares[rows])
+        total = squares[rows] + g * g
+        squares[rows] = total
+        x[rows] += np.float32(RATE) * g / np.sqrt(total)
 
     def batch(self, c1: np.ndarray, c2: np.ndarray, unit: np.ndarray) -> None:
         p, s, of = self.p, self.squares, self.layout
         k = of.unit_class[unit]
-        r = p.first[c1] + p.second[c2]
-        drawn = self.rng.choice(of.classes, NOISE, p=of.noise)
-        target = p.target[k]
-        up = 1 - _sigmoid((r * target).sum(1) + p.bias[k] - of.log_noise[k])
-        down = -_sigmoid(r @ p.target[drawn].T + p.bias[drawn] - of.log_noise[drawn])
-        dr = up[:, None] * target + down @ p.target[drawn]
-        at, rows, biases = np.concatenate([k, drawn]), np.concatenate([up[:, None] * r, down.T @ r]), np.concatenate([up, down.sum(0)])
+        r = p.of(c1, c2)
+        drawn = np.searchsorted(of.upto_class, self.rng.random(NOISE) * of.upto_class[-1], "right")
+        target, noise = p.target[k], p.target[drawn]
+        up = 1 - _sigmoid(np.einsum("nd,nd->n", r, target) - of.log_noise[k])
+        down = -_sigmoid(r @ noise.T - of.log_noise[drawn])
+        dr = up[:, None] * target + down @ noise
+        classes = np.concatenate([k, drawn]), np.concatenate([up[:, None] * r, down.T @ r])
         several = np.flatnonzero(~of.single[k])
         if len(several):
             rs, u = r[several], unit[several]
             others = of.drawn_units(k[several], self.rng)
             own, other = p.unit[u], p.unit[others]
-            up2 = 1 - _sigmoid((rs * own).sum(1) + p.unit_bias[u] - of.log_unit[u])
-            down2 = -_sigmoid(np.einsum("nd,nkd->nk", rs, other) + p.unit_bias[others] - of.log_unit[others])
+            up2 = 1 - _sigmoid(np.einsum("nd,nd->n", rs, own) - of.log_unit[u])
+            down2 = -_sigmoid(np.einsum("nd,nkd->nk", rs, other) - of.log_unit[others])
             dr[several] += up2[:, None] * own + np.einsum("nk,nkd->nd", down2, other)
-            units = np.concatenate([u, others.ravel()])
-            self._step(p.unit, s.unit, units, np.concatenate([up2[:, None] * rs, (down2[:, :, None] * rs[:, None, :]).reshape(-1, rs.shape[1])]))
-            self._step(p.unit_bias, s.unit_bias, units, np.concatenate([up2, down2.ravel()]))
-        self._step(p.target, s.target, at, rows)
-        self._step(p.bias, s.bias, at, biases)
-        self._step(p.first, s.first, c1, dr)
-        self._step(p.second, s.second, c2, dr)
+            away = (down2[:, :, None] * rs[:, None, :]).reshape(-1, rs.shape[1])
+            self._step(p.unit, s.unit, np.concatenate([u, others.ravel()]), np.concatenate([up2[:, None] * rs, away]))
+        self._step(p.target, s.target, *classes)
+        dr = dr[:, :-1]
+        self._step(p.context, s.context, np.concatenate([c1, c2 + of.start + 1]), np.concatenate([dr, dr]))
 
     def fit(self, c1: np.ndarray, c2: np.ndarray, unit: np.ndarray) -> None:
         order = self.rng.permutation(len(unit))
@@ -275,17 +279,18 @@ def log10_of(p: Parameters, layout: Layout, c1: np.ndarray, c2: np.ndarray, unit
         own = s[np.arange(len(s)), at]
         return own - np.log(np.exp(s, out=s).sum(1))
 
-    k, out = layout.unit_class[unit], np.zeros(len(unit))
+    k, out, r = layout.unit_class[unit], np.zeros(len(unit)), p.of(c1, c2)
+    target = np.ascontiguousarray(p.target.T)
     for lo in range(0, len(unit), most):
         at = slice(lo, lo + most)
-        out[at] = normalised((p.first[c1[at]] + p.second[c2[at]]) @ p.target.T + p.bias, k[at])
+        out[at] = normalised(r[at] @ target, k[at])
     order = np.argsort(k.astype(np.uint16) if layout.classes < 1 << 16 else k, kind="stable")
     cut = np.searchsorted(k[order], np.arange(layout.classes + 1))
     for i in np.flatnonzero(~layout.single & (np.diff(cut) > 0)):
-        own = layout.members[i]
+        members = np.ascontiguousarray(p.unit[layout.members[i]].T)
         for lo in range(cut[i], cut[i + 1], most):
             at = order[lo : min(lo + most, cut[i + 1])]
-            out[at] += normalised((p.first[c1[at]] + p.second[c2[at]]) @ p.unit[own].T + p.unit_bias[own], layout.place[unit[at]])
+            out[at] += normalised(r[at] @ members, layout.place[unit[at]])
     return out / math.log(10)
 
 
