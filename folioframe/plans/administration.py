@@ -168,26 +168,35 @@ def page_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", pages.is_trustworthy(F.col("text")).alias("trusted"))
 
 
-@query("word_coverage", "SELECT doc_id, e = 0 OR 10 * m >= 9 * e AS covered FROM (SELECT doc_id, coalesce(sum(least(2, b)), 0) AS e, coalesce(sum(least(2, a, b)), 0) AS m FROM (SELECT doc_id, t, len(list_filter(h, lambda x: x = t)) AS a, len(list_filter(w, lambda x: x = t)) AS b FROM (SELECT doc_id, h, w, unnest(list_distinct(w)) AS t FROM (SELECT doc_id, list_filter(string_split_regex(lower(left(text, 300)), '[^\\pL\\pN]+'), lambda x: x <> '') AS h, list_filter(string_split_regex(lower(left(text, 330)), '[^\\pL\\pN]+'), lambda x: x <> '') AS w FROM documents))) GROUP BY doc_id)".replace("\\\\", "\\"))
+_WORDS_OF = r"list_filter(string_split_regex(lower({0}), '[^\pL\pN]+'), lambda x: x <> '')"
+
+
+@query(
+    "word_coverage",
+    rf"""WITH d AS (SELECT doc_id, text, regexp_replace(text, '^[^ ]+ ', '') AS rest FROM documents),
+        b AS (SELECT doc_id, t, count(*) AS b FROM (SELECT doc_id, unnest({_WORDS_OF.format("text")}) AS t FROM d) GROUP BY 1, 2),
+        a AS (SELECT doc_id, t, count(*) AS a FROM (SELECT doc_id, unnest({_WORDS_OF.format("rest")}) AS t FROM d) GROUP BY 1, 2)
+        SELECT doc_id, 10 * sum(least(2, coalesce(a, 0), b)) >= 9 * sum(least(2, b)) AS covered FROM b LEFT JOIN a USING (doc_id, t) GROUP BY 1""",
+)
 def word_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the first 300 signs of a text have most words of the first 330."""
+    """Whether a text without its first word still has most of its words."""
     rows = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"[\p{L}\p{N}]"))
-    return rows.select("doc_id", pages.covers(F.left("text", F.lit(300)), F.left("text", F.lit(330))).alias("covered"))
+    return rows.select("doc_id", pages.covers(F.regexp_replace("text", "^[^ ]+ ", ""), F.col("text")).alias("covered"))
 
 
-@query("input_checksum", "SELECT doc_id, sha256(unhex(lpad(to_hex(strlen(source)), 16, '0')) || source::BLOB || unhex(lpad(to_hex(strlen(text)), 16, '0')) || text::BLOB) AS checksum FROM documents WHERE text = strip_accents(text)")
+@query("input_checksum", "SELECT doc_id, sha256(unhex(lpad(to_hex(strlen(source)), 16, '0')) || encode(source) || unhex(lpad(to_hex(strlen(text)), 16, '0')) || encode(text)) AS checksum FROM documents")
 def input_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A digest over length-delimited fields; texts in ASCII, as the twin's cast to bytes takes no others."""
-    docs = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[^\x00-\x7f]"))
+    """A digest over length-delimited fields."""
+    docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", identity.digest(F.encode("source", "UTF-8"), F.encode("text", "UTF-8")).alias("checksum"))
 
 
-@query("merge_documents", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'theirs' WHEN 2 THEN 'ours' ELSE 'conflict' END AS outcome FROM documents WHERE length(text) > 3")
+@query("merge_documents", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'theirs' WHEN 2 THEN 'ours' ELSE 'conflict' END AS outcome FROM documents")
 def merge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which side a three-way merge takes."""
     k, t = F.col("doc_id") % 4, F.col("text")
     ours, theirs = F.when(k.isin(2, 3), F.concat(t, F.lit("!"))).otherwise(t), F.when(k.isin(1, 3), F.concat(t, F.lit("?"))).otherwise(t)
-    merged = table(spark, sf_dir, "documents").where("length(text) > 3").select("doc_id", t, ours.alias("o"), theirs.alias("th"), markdown.three_way_merge(t, ours, theirs).alias("m"))
+    merged = table(spark, sf_dir, "documents").select("doc_id", t, ours.alias("o"), theirs.alias("th"), markdown.three_way_merge(t, ours, theirs).alias("m"))
     return merged.select("doc_id", F.when(F.col("m.conflict"), "conflict").when(F.col("m.markdown") == t, "text").when(F.col("m.markdown") == F.col("o"), "ours").otherwise("theirs").alias("outcome"))
 
 
@@ -199,10 +208,9 @@ def answer_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("word_error")
 def word_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean word error rate of texts without their first word, by language."""
-    head = F.array_join(F.slice(text.words(F.col("text")), 1, 40), " ")
-    rows = table(spark, sf_dir, "documents").select("lang", pages.wer(head, F.regexp_replace(head, r"^\S+ ", "")).alias("wer"))
-    return rows.groupBy("lang").agg(F.avg("wer").alias("wer"))
+    """Mean word error rate of turns without their first word, by role."""
+    rows = table(spark, sf_dir, "conversations").select("role", pages.wer(F.col("text"), F.regexp_replace("text", r"^\S+ ", "")).alias("wer"))
+    return rows.groupBy("role").agg(F.count("*").alias("n"), F.avg("wer").alias("wer"))
 
 
 @query("stable_units", "SELECT user_id, round((('0x' || left(sha256(CAST(user_id AS VARCHAR)), 13))::BIGINT)::DOUBLE / 4503599627370496, 9) AS unit FROM (SELECT DISTINCT user_id FROM events)")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioframe.functions import numbers, text
@@ -29,19 +32,23 @@ def part_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc").agg(text.markdown_table(F.concat(F.array(head), body)).alias("markdown")).withColumnRenamed("doc", "source_rel")
 
 
+#: A run of five of any letter or digit that occurs, one alternative for each.
+_RUN = r"run AS (SELECT string_agg(c || '{{5}}', '|') AS p FROM (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM documents) WHERE regexp_matches(c, '^[\pL\pN]$'))".replace("{{", "{").replace("}}", "}")
+
+
 @query(
     "quality_report",
-    """WITH q AS (SELECT doc_id, length(text) AS chars, list_filter([CASE WHEN length(text) < 80 THEN 'SHORT_CONTENT' END, CASE WHEN contains(text, chr(65533)) THEN 'REPLACEMENT_CHARACTER' END,
-                  CASE WHEN contains(text, '<!-- Trang') AND contains(text, '(OCR)') THEN 'OCR_CONTENT' END], lambda x: x IS NOT NULL) AS i FROM documents)
+    rf"""WITH {_RUN}, q AS (SELECT doc_id, length(text) AS chars, list_filter([CASE WHEN length(text) < 80 THEN 'SHORT_CONTENT' END, CASE WHEN contains(text, chr(65533)) THEN 'REPLACEMENT_CHARACTER' END,
+                  CASE WHEN contains(text, '<!-- Trang') AND contains(text, '(OCR)') THEN 'OCR_CONTENT' END, CASE WHEN regexp_matches(text, p) THEN 'REPEATED_RUN' END], lambda x: x IS NOT NULL) AS i FROM documents, run)
        SELECT doc_id, chars, array_to_string(i, ',') AS issues, round(greatest(1 - list_sum(list_concat([0.0::DOUBLE], list_transform(i, lambda x: CASE x WHEN 'REPLACEMENT_CHARACTER' THEN 0.3 WHEN 'OCR_CONTENT' THEN 0.04 ELSE 0.12 END::DOUBLE))), 0), 6) AS score FROM q""",
 )
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Issues and score of each document; without the check for repeated runs, which the twin has no pattern for."""
-    report = markdown.quality_report(_docs(spark, sf_dir), "doc_id", "text", repeated=False)
+    """Issues and score of each document."""
+    report = markdown.quality_report(_docs(spark, sf_dir), "doc_id", "text")
     return report.select("doc_id", "chars", F.array_join("issues", ",").alias("issues"), F.round("score", 6).alias("score"))
 
 
-@query("repeated_run_flag")
+@query("repeated_run_flag", f"WITH {_RUN} SELECT doc_id, regexp_matches(text, p) AS repeated FROM documents, run")
 def repeated_run_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in which a letter or digit stands five times in a row."""
     return _docs(spark, sf_dir).select("doc_id", text.repeated_run(F.col("text")).alias("repeated"))
@@ -85,15 +92,11 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown.build_corpus(as_markdown(_docs(spark, sf_dir))).drop("text")
 
 
-@query(
-    "chunk_sizes",
-    """SELECT 'doc/' || doc_id AS source_rel, source || ' > ' || lang AS heading, length(trim(replace(text, chr(10), chr(10) || chr(10)))) AS chars FROM documents WHERE length(replace(text, chr(10), chr(10) || chr(10))) <= 2000 AND length(trim(text)) > 0""",
-)
+@query("chunk_sizes")
 def chunk_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that are one chunk."""
-    docs = _docs(spark, sf_dir)
-    small = docs.where(F.length(F.replace("text", F.lit("\n"), F.lit("\n\n"))) <= 2000)
-    return markdown.build_corpus(as_markdown(small)).select("source_rel", "heading", F.length("text").alias("chars"))
+    """How many chunks each document has, and how many characters they and the longest of them have."""
+    chunks = markdown.build_corpus(as_markdown(_docs(spark, sf_dir)))
+    return chunks.groupBy("source_rel").agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).alias("chars"), F.max(F.length("text")).alias("longest"))
 
 
 @query("table_extract", "SELECT CAST(p_partkey % 97 AS VARCHAR) AS source_rel, count(*) + 1 AS n_rows, 5 AS n_columns FROM part GROUP BY 1")
@@ -150,13 +153,20 @@ def requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims.numbered(claims.requirement_lines(turns, "source_rel"), ["source_rel"], ["line"])
 
 
-@query("ask_route", "SELECT conv_id, turn, CASE WHEN low = '' OR regexp_matches(low, 'document|policy|procedure|citation|knowledge base|upload|nguon') THEN 'knowledge' WHEN length(low) <= 64 AND regexp_matches(low, '^(hello |hi |hey |thanks |thank you )') THEN 'assistant' WHEN low IN ('hello', 'hi', 'hey', 'thanks', 'thank you', 'ok', 'help') THEN 'assistant' ELSE 'none' END AS route FROM (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(trim(text)), '[?!.,;:]', ' ', 'g'), '\\s+', ' ', 'g')) AS low FROM conversations WHERE role = 'user') WHERE NOT regexp_matches(low, '^(ke |hat |dua |chao)|^(ty|hola|bye|goodbye|okay|vang)$|buon|vui qua|van ban|bao cao')".replace("\\\\", "\\"))
+_any = lambda names: "|".join(map(re.escape, claims.forms(names))).replace("'", "''")
+_LOW = r"trim(regexp_replace(regexp_replace(lower(trim(text)), '[?!.,;:\u2026\u00bf\u00a1]', ' ', 'g'), '\s+', ' ', 'g'))".encode().decode("raw_unicode_escape")
+
+
+@query(
+    "ask_route",
+    f"""SELECT conv_id, turn, CASE WHEN low = '' OR regexp_matches(low, '{_any(claims.KNOWLEDGE)}') THEN 'knowledge'
+            WHEN length(low) <= 96 AND (regexp_full_match(low, '{_any(claims.GREETINGS)}') OR (length(low) <= 64 AND regexp_matches(low, '^({_any(claims.OPENINGS)})')) OR (length(low) <= 80 AND regexp_matches(low, '{_any(claims.SMALL_TALK)}'))) THEN 'assistant'
+            ELSE 'none' END AS route FROM (SELECT conv_id, turn, {_LOW} AS low FROM conversations WHERE role = 'user')""",
+)
 def ask_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Routes of the user's turns; the few turns that only the longer lists know are left to the unit tests."""
+    """Routes of the user's turns."""
     rows = table(spark, sf_dir, "conversations").where("role = 'user'")
-    low = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.trim("text")), "[?!.,;:]", " "), r"\s+", " "))
-    plain = rows.where(~low.rlike("^(ke |hat |dua |chao)|^(ty|hola|bye|goodbye|okay|vang)$|buon|vui qua|van ban|bao cao"))
-    return plain.select("conv_id", "turn", F.coalesce(claims.ask_route(F.col("text")), F.lit("none")).alias("route"))
+    return rows.select("conv_id", "turn", F.coalesce(claims.ask_route(F.col("text")), F.lit("none")).alias("route"))
 
 
 @query("turn_sequence", "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn), '') AS previous FROM conversations")
@@ -166,10 +176,10 @@ def turn_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.row_number().over(w).alias("n"), F.coalesce(F.lag("role").over(w), F.lit("")).alias("previous"))
 
 
-@query("slugs", r"SELECT doc_id, regexp_replace(lower(regexp_replace(replace(lower(strip_accents(left(text, 60))), 'đ', 'd'), '[^A-Za-z0-9]+', '-', 'g')), '^-+|-+$', '', 'g') AS slug FROM documents")
+@query("slugs", r"SELECT doc_id, regexp_replace(lower(regexp_replace(replace(lower(strip_accents(regexp_extract(text, '[^\n]*'))), 'đ', 'd'), '[^A-Za-z0-9]+', '-', 'g')), '^-+|-+$', '', 'g') AS slug FROM documents")
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slugs of the texts' beginnings."""
-    return _docs(spark, sf_dir).select("doc_id", text.folded_slug(F.left("text", F.lit(60))).alias("slug"))
+    """Slugs of the texts' first lines, which are their titles."""
+    return _docs(spark, sf_dir).select("doc_id", text.folded_slug(F.regexp_extract("text", "[^\\n]*", 0)).alias("slug"))
 
 
 @query(
@@ -189,12 +199,22 @@ def margin_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("benchmark_overlap", "SELECT doc_id, item_id FROM documents, benchmark WHERE contains(documents.text, benchmark.text)")
 def benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item word for word: items meet documents by their first five words, and the
-    meeting ones are compared whole."""
-    lead = lambda w, i: F.concat_ws(" ", *(F.get(w, i + j) for j in range(5)))
+    """Documents that hold a benchmark item word for word: items meet documents by their first whole words behind the
+    very first, five at most, and the meeting ones are compared whole. Items without such a word, of two words or fewer,
+    are a stated set of queries against all documents."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), F.split("text", r"[ \n]").alias("w"))
-    keyed = items.select("item_id", "item", F.transform(F.array("w"), lambda w: lead(w, F.lit(1)))[0].alias("k"), F.size("w").alias("n"))
-    grams = F.transform(F.array(F.split("text", r"[ \n]")), lambda w: F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 5, F.lit(0))), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2), F.get(w, i + 3), F.get(w, i + 4)))))[0]
-    docs = _docs(spark, sf_dir).select("doc_id", F.explode(grams).alias("k"))
-    met = docs.join(keyed.where("n >= 7"), "k").select("doc_id", "item_id", "item").distinct()
-    return met.join(_docs(spark, sf_dir).select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("item"))).select("doc_id", "item_id")
+    lead = F.least(F.size("w") - 2, F.lit(5))
+    keyed = items.where("size(w) > 2").select("item_id", "item", F.array_join(F.slice("w", F.lit(2), lead), " ").alias("k"), lead.alias("g"))
+    sizes = [r["g"] for r in keyed.select("g").distinct().collect()]  # five at most
+    words = F.array(F.split("text", r"[ \n]"))
+
+    def grams(g: int) -> Column:
+        return F.transform(words, lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - g + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, g), " "))))[0]
+
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    short = docs.join(F.broadcast(items.where("size(w) <= 2").select("item_id", "item")), F.contains("text", F.col("item"))).select("doc_id", "item_id")
+    if not sizes:
+        return short
+    leads = reduce(DataFrame.union, [docs.select("doc_id", F.explode(grams(g)).alias("k"), F.lit(g).alias("g")) for g in sizes])
+    met = leads.join(keyed, ["k", "g"]).select("doc_id", "item_id", "item").distinct()
+    return met.join(docs, "doc_id").where(F.contains("text", F.col("item"))).select("doc_id", "item_id").union(short)

@@ -9,19 +9,18 @@ from folioframe.functions import numbers, text
 from folioframe.plans.registry import query
 from folioframe.session import table
 
-_ASCII = r"regexp_replace(left(text, 200), '[^ -~]', '', 'g')"
 
 
 @query(
     "cer_by_label",
-    f"""WITH d AS (SELECT lang, {_ASCII} AS a, lower(replace({_ASCII}, 'th', 't')) AS b FROM documents)
-        SELECT lang, count(*) AS n, round(avg(CASE WHEN length(a) = 0 THEN (length(b) > 0)::DOUBLE ELSE levenshtein(a, b)::DOUBLE / length(a) END), 9) AS cer FROM d GROUP BY 1""",
+    """WITH d AS (SELECT role, text AS a, lower(replace(text, 'th', 't')) AS b FROM conversations)
+        SELECT role, count(*) AS n, round(avg(CASE WHEN length(a) = 0 THEN (length(b) > 0)::DOUBLE ELSE levenshtein(a, b)::DOUBLE / length(a) END), 9) AS cer FROM d GROUP BY 1""",
 )
 def cer_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean character error rate by language, of a mangled copy of each text's beginning; ASCII, as the twin counts bytes."""
-    a = F.regexp_replace(F.left("text", F.lit(200)), "[^ -~]", "")
-    rows = table(spark, sf_dir, "documents").select("lang", a.alias("a"), F.lower(F.replace(a, F.lit("th"), F.lit("t"))).alias("b"))
-    return rows.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg(text.char_error_rate(F.col("a"), F.col("b"))), 9).alias("cer"))
+    """Mean character error rate of a mangled copy of each turn, by role."""
+    a = F.col("text")
+    rows = table(spark, sf_dir, "conversations").select("role", a.alias("a"), F.lower(F.replace(a, F.lit("th"), F.lit("t"))).alias("b"))
+    return rows.groupBy("role").agg(F.count("*").alias("n"), F.round(F.avg(text.char_error_rate(F.col("a"), F.col("b"))), 9).alias("cer"))
 
 
 @query(

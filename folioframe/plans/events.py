@@ -47,11 +47,10 @@ def latency_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).groupBy("event_type").agg(*(F.count_if(F.col("value") <= e).alias(f"le_{int(e)}") for e in EDGES), F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("stream_dedup_replay", "SELECT min(event_id) AS event_id, user_id, event_type FROM events WHERE event_id > 100 GROUP BY user_id, event_type")
+@query("stream_dedup_replay", "SELECT DISTINCT user_id, event_type FROM events WHERE event_id > 100")
 def stream_dedup_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first event of each fingerprint after a cursor; the batch twin of the stream."""
-    rows = _events(spark, sf_dir).where("event_id > 100")
-    return rows.groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+    """The fingerprints that a replay from a cursor brings, each once; the same operators run on streams."""
+    return stateful.fresh(stateful.replay(_events(spark, sf_dir), "event_id", 100), ["user_id", "event_type"], "ts").select("user_id", "event_type")
 
 
 @query("event_tail", "SELECT event_id, event_type, user_id FROM events WHERE event_id > 500 AND event_type = 'purchase' ORDER BY event_id LIMIT 100")
