@@ -41,18 +41,15 @@ def is_high_confidence(x: Column) -> Column:
 
 def covers(native: Column, markdown: Column, share: float = 0.9) -> Column:
     """Whether a page's own text has most of the words of its Markdown, each counted twice at most."""
-    split = lambda x: F.filter(F.split(F.lower(x), f"[^{_ALNUM}]+"), lambda t: t != "")
-    at_most_two = lambda t, w: F.least(F.size(F.filter(t, lambda y: y == w)), F.lit(2))
-    total = lambda d, f: F.aggregate(F.transform(d, f), F.lit(0), lambda s, v: s + v)
-
-    def compared(pair: Column) -> Column:
-        have, want = pair["have"], pair["want"]
-        each = F.array_distinct(want)
-        expected = total(each, lambda w: at_most_two(want, w))
-        met = total(each, lambda w: F.least(at_most_two(want, w), at_most_two(have, w)))
-        return (expected == 0) | (met >= share * expected)
-
-    return F.transform(F.array(F.struct(split(native).alias("have"), split(markdown).alias("want"))), compared)[0]
+
+    def twice(x: Column) -> Column:
+        """The words, the second of equal ones told apart from the first, and no further ones."""
+        words = F.array_sort(F.filter(F.split(F.lower(x), f"[^{_ALNUM}]+"), lambda t: t != ""))
+        named = lambda s: F.transform(s, lambda w, i: F.concat(w, F.when(F.get(s, i - 1) == w, "+2").otherwise("+1")))
+        return F.array_distinct(F.transform(F.array(words), named)[0])
+
+    compared = lambda p: (F.size(p["want"]) == 0) | (F.size(F.array_intersect(p["want"], p["have"])) >= share * F.size(p["want"]))
+    return F.transform(F.array(F.struct(twice(native).alias("have"), twice(markdown).alias("want"))), compared)[0]
 
 
 def has_malformed_table(md: str) -> bool:

@@ -19,7 +19,9 @@ from folioframe.session import table
 def cer_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean character error rate of a mangled copy of each turn, by role."""
     a = F.col("text")
-    rows = table(spark, sf_dir, "conversations").select("role", a.alias("a"), F.lower(F.replace(a, F.lit("th"), F.lit("t"))).alias("b"))
+    # edits take the square of a text's length: worth a shuffle where few files would make few tasks
+    turns = table(spark, sf_dir, "conversations").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv_id", "turn")
+    rows = turns.select("role", a.alias("a"), F.lower(F.replace(a, F.lit("th"), F.lit("t"))).alias("b"))
     return rows.groupBy("role").agg(F.count("*").alias("n"), F.round(F.avg(text.char_error_rate(F.col("a"), F.col("b"))), 9).alias("cer"))
 
 
