@@ -23,8 +23,8 @@ MAX_ENTRIES, MAX_UNCOMPRESSED, MAX_RATIO = 4096, 1 << 30, 100
 
 
 def extension(path: Column) -> Column:
-    """The extension of a path's last part, in lower case; empty without one."""
-    return F.regexp_extract(F.lower(F.regexp_extract(path, r"([^/\\]*)$", 1)), r"[^.]\.([^.]+)$|^\.[^.]*\.([^.]+)$", 1)
+    """The extension of a path's last part, in lower case; empty without one (a dot that a name begins with makes none)."""
+    return F.regexp_extract(F.lower(F.regexp_extract(path, r"([^/\\]*)$", 1)), r"(?s).\.([^.]+)$", 1)
 
 
 def format_of(path: Column) -> Column:
