@@ -25,7 +25,14 @@ def session_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.debounced(_events(spark, sf_dir), "user_id", "ts", 1_800_000)
 
 
-@query("token_bucket")
+@query(
+    "token_bucket",
+    """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) / 1000000.0::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+       s AS (SELECT event_id, user_id, n, t, TRUE AS allowed, 1.0::DOUBLE AS tokens FROM e WHERE n = 1
+             UNION ALL SELECT event_id, user_id, n, t, filled >= 1, CASE WHEN filled >= 1 THEN filled - 1 ELSE filled END
+             FROM (SELECT e.event_id, e.user_id, e.n, e.t, least(2.0::DOUBLE, s.tokens + (e.t - s.t) * 2.0::DOUBLE / 60) AS filled FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1))
+       SELECT event_id, allowed FROM s""",
+)
 def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each event passes its user's bucket of two tokens."""
     return stateful.token_bucket(_events(spark, sf_dir), "user_id", "ts", "event_id", 2.0)

@@ -46,27 +46,41 @@ def _take(tokens: float, last: float | None, now: float, capacity: float) -> tup
 
 def token_bucket(events: DataFrame, key: str, at: str, id_col: str, capacity: float) -> DataFrame:
     """id and whether the key's bucket lets the event pass. Works on a stream (state per key, in order of arrival
-    within a batch) and on a batch (all of a key's events in order of time)."""
+    within a batch) and on a batch (all of a key's events in order of time, ties by id; events without a time last). A
+    batch is one ordered stream for each key, read a block of rows at a time, so no key has to fit in memory."""
     schema = f"{id_col} bigint, allowed boolean"
     rows = events.select(F.col(key).cast("string").alias("k"), F.col(at).cast("timestamp").cast("double").alias("t"), F.col(id_col).cast("long").alias(id_col))
 
-    def decide(frames: Iterator[pd.DataFrame], tokens: float, last: float | None) -> tuple[pd.DataFrame, float, float | None]:
-        every = pd.concat(list(frames)).sort_values(["t", id_col])
-        passed = []
-        for t in every["t"]:
-            ok, tokens = _take(tokens, last, t, capacity)
-            last = t if last is None else max(last, t)
-            passed.append(ok)
-        return pd.DataFrame({id_col: every[id_col].to_numpy(), "allowed": passed}), tokens, last
+    def later(last: float | None, t: float) -> float:
+        return t if last is None else max(last, t)
 
     if not events.isStreaming:
-        return rows.groupBy("k").applyInPandas(lambda f: decide(iter([f]), capacity, None)[0], schema)
+
+        def ordered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            now: Any = ()  # no key is a tuple
+            tokens, last = capacity, None
+            for f in frames:
+                passed = []
+                for k, t in zip(f["k"], f["t"]):
+                    if k != now:
+                        now, tokens, last = k, capacity, None
+                    ok, tokens = _take(tokens, last, t, capacity)
+                    last = later(last, t)
+                    passed.append(ok)
+                yield pd.DataFrame({id_col: f[id_col], "allowed": passed})
+
+        return rows.repartition("k").sortWithinPartitions("k", F.asc_nulls_last("t"), id_col).mapInPandas(ordered, schema)
 
     def step(_: Any, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         tokens, last = state.get if state.exists else (capacity, None)
-        out, tokens, last = decide(frames, tokens, last)
+        every = pd.concat(list(frames)).sort_values(["t", id_col])
+        passed = []
+        for t in every["t"]:
+            ok, tokens = _take(tokens, last, t, capacity)
+            last = later(last, t)
+            passed.append(ok)
         state.update((tokens, last))
-        yield out
+        yield pd.DataFrame({id_col: every[id_col].to_numpy(), "allowed": passed})
 
     return rows.groupBy("k").applyInPandasWithState(step, schema, "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
 
