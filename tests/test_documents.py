@@ -68,13 +68,13 @@ def test_quality_issues(spark):
 @pytest.mark.parametrize(
     "text, found",
     [
-        ("write a.b@c.com, or **x_y@d.org**", ["a.b@c.com", "x_y@d.org"]),
-        ("**_~~n@e.vn~~_**", ["n@e.vn"]),
-        ("price@100.00 a..b@c.com .a@c.com a@-c.com a@c-.com a@c", []),
-        ("o'neil+tag@sub.example.co.", ["o'neil+tag@sub.example.co"]),
-        ("đa@b.com", []),
-        ("a@b.com@c.com", []),
-        ("|m@n.vn|", ["m@n.vn"]),
+        ("Reach lan.ho@firma.de; copy to **team_x@haus.net**", ["lan.ho@firma.de", "team_x@haus.net"]),
+        ("__~~*q7@lab.fr*~~__", ["q7@lab.fr"]),
+        ("v@12.34 k..m@lab.fr .k@lab.fr k@-lab.fr k@lab-.fr k@lab", []),
+        ("d'arc+news@post.lab.fr.", ["d'arc+news@post.lab.fr"]),
+        ("ñu@lab.fr", []),
+        ("k@lab.fr@rue.fr", []),
+        ("|k9@lab.fr|", ["k9@lab.fr"]),
     ],
 )
 def test_emails(text, found):
@@ -84,12 +84,12 @@ def test_emails(text, found):
 @pytest.mark.parametrize(
     "text, found",
     [
-        ("0912345678 0987654321", ["0912345678", "0987654321"]),
-        ("+84 912 345 678, (024) 3825.1234", ["+84 912 345 678", "(024) 3825.1234"]),
-        ("+12345678 0987654321", ["0987654321"]),
-        ("84 (0) 912 345 678", ["84 (0) 912 345 678"]),
-        ("0951234567 0301234567 x0912345678 0912345678y", []),
-        ("0203 3825 123", ["0203 3825 123"]),
+        ("0388120457 0776543219", ["0388120457", "0776543219"]),
+        ("+84 70 811 29 46; (028) 6277-4410", ["+84 70 811 29 46", "(028) 6277-4410"]),
+        ("+4915112345 0587710326", ["0587710326"]),
+        ("84-0-826-410-975", ["84-0-826-410-975"]),
+        ("0531870264 0118706254 k0826410975 0826410975k", []),
+        ("0258 377 1946", ["0258 377 1946"]),
     ],
 )
 def test_phones(text, found):
@@ -99,17 +99,17 @@ def test_phones(text, found):
 @pytest.mark.parametrize(
     "text, kinds",
     [
-        ("SĐT: 0912345678", [("Phone", 0.92)]),
-        ("gọi 0912345678", [("Phone", 0.9)]),
-        ("Tài khoản ngân hàng: 1234 5678 9012", [("BankAccount", 0.8)]),
-        ("Tài khoản 12345678", [("BankAccount", 0.8)]),
-        ("CCCD: 012345678901", [("NationalId", 0.95)]),
-        ("CMND số 123456789", [("NationalId", 0.95)]),
-        ("CCCD: 1234567890", []),
-        ("STK mã giao dịch: 123456789012", []),
-        ("CCCD. 012345678901", []),
-        ("|Tên|Số tài khoản|\n|---|---|\n|A|0912345678|\n", [("BankAccount", 0.8)]),
-        ("12345678", []),
+        ("Hotline: 0388120457", [("Phone", 0.92)]),
+        ("ghi lại 0388120457", [("Phone", 0.9)]),
+        ("STK ngân hàng: 7705 1294 3386", [("BankAccount", 0.8)]),
+        ("Số TK 77051294", [("BankAccount", 0.8)]),
+        ("Căn cước: 047155902746", [("NationalId", 0.95)]),
+        ("CCCD số 604218773", [("NationalId", 0.95)]),
+        ("CMND: 6042187735", []),
+        ("Số tài khoản mã GD: 604218773512", []),
+        ("CMND. 047155902746", []),
+        ("|Họ|STK|\n|---|---|\n|B|0388120457|\n", [("BankAccount", 0.8)]),
+        ("60421877", []),
     ],
 )
 def test_labels(text, kinds):
@@ -117,15 +117,15 @@ def test_labels(text, kinds):
 
 
 def test_redaction(spark):
-    text = "a@b.com và 0912345678"
+    text = "k@lab.fr rồi 0388120457"
     findings = [{"kind": k, "text": text[a:b], "start": a, "end": b} for k, a, b, _ in pii.scan(text)]
-    assert pii.redact(text, findings) == "[REDACTED_Email] và [REDACTED_Phone]"
+    assert pii.redact(text, findings) == "[REDACTED_Email] rồi [REDACTED_Phone]"
     assert pii.redact("x" + text, findings) == "x" + text  # stale
     both = [{"kind": "A", "text": "abc", "start": 0, "end": 3}, {"kind": "B", "text": "bcd", "start": 1, "end": 4}]
     assert pii.redact("abcde", both) == "[REDACTED_A]e"
     df = spark.createDataFrame([(1, text), (2, None), (3, "")], "k int, text string")
-    assert {(r.kind, r.byte_start) for r in pii.detect(df, "k").collect()} == {("Email", 0), ("Phone", 12)}
-    assert [r.t for r in df.orderBy("k").select(pii.redacted("text").alias("t")).collect()] == ["[REDACTED_Email] và [REDACTED_Phone]", None, ""]
+    assert {(r.kind, r.byte_start) for r in pii.detect(df, "k").collect()} == {("Email", 0), ("Phone", 15)}
+    assert [r.t for r in df.orderBy("k").select(pii.redacted("text").alias("t")).collect()] == ["[REDACTED_Email] rồi [REDACTED_Phone]", None, ""]
 
 
 def test_claims(spark):
@@ -136,21 +136,21 @@ def test_claims(spark):
 
 
 def test_requirements(spark):
-    text = "- Hệ thống phải lưu nhật ký\nNgân sách bắt buộc duyệt\nngắn\nGiả định có mạng ổn định\nAi phê duyệt việc này?\nGiven a user When x Then y ok"
+    text = "- Hệ thống phải tắt máy bơm ban đêm\nNgân sách bắt buộc duyệt\nngắn\nGiả định có mạng ổn định\nAi phê duyệt việc này?\nGiven a user When x Then y ok"
     rows = claims.numbered(claims.requirement_lines(spark.createDataFrame([("d", text)], "d string, text string"), "d"), ["d"], ["line"])
     assert {(r.item_id, r.line) for r in rows.collect()} == {("FR-001", 0), ("BR-001", 1), ("AS-001", 3), ("Q-001", 4), ("AC-001", 5)}
     assert claims.skeletons(rows).count() == 6
-    quotes = spark.createDataFrame([("d", "hệ thống phải lưu nhật ký đầy đủ")], "d string, quote string")
+    quotes = spark.createDataFrame([("d", "hệ thống phải tắt máy bơm ban đêm khi mưa")], "d string, quote string")
     good = {r.item_id: r.grounded for r in claims.grounding(rows, quotes, "d").collect()}
     assert good["FR-001"] and not good["Q-001"]
 
 
 def test_answers(spark):
-    quotes = {"CITE-0001": "Mức phạt là 5 triệu", "CITE-0002": "không áp dụng"}
-    assert claims.answer_warnings("Mức phạt là 5 triệu [CITE-0001].", quotes) == []
+    quotes = {"CITE-0001": "Vé tàu hết 5 triệu", "CITE-0002": "không áp dụng"}
+    assert claims.answer_warnings("Vé tàu hết 5 triệu [CITE-0001].", quotes) == []
     assert claims.answer_warnings("x", quotes) == ["no_citation"]
     assert "unknown_citation:CITE-0009" in claims.answer_warnings("a [CITE-0009]", quotes)
-    assert "value_not_in_source:7" in claims.answer_warnings("Mức phạt là 7 triệu [CITE-0001].", quotes)
+    assert "value_not_in_source:7" in claims.answer_warnings("Vé tàu hết 7 triệu [CITE-0001].", quotes)
     assert "negation_differs" in claims.answer_warnings("Áp dụng [CITE-0002].", quotes)
     assert "uncited_paragraph" in claims.answer_warnings("b " * 40 + "\n\nx [CITE-0001]", quotes)
 
@@ -220,9 +220,9 @@ def test_legacy_text():
 
 
 def test_formats(spark):
-    df = spark.createDataFrame([("a/B.PDF", b"%PDF-1.7"), ("x.docx", DOCX), ("y.pdf", b"\x89PNG\r\n\x1a\n"), ("t.txt", b"hello"), ("none", b"\x00\x01")], "path string, content binary")
+    df = spark.createDataFrame([("a/B.PDF", b"%PDF-1.7"), ("x.docx", DOCX), ("y.pdf", b"\x89PNG\r\n\x1a\n"), ("t.txt", b"hello"), ("none", b"\x00\x01"), ("d/.hidden.csv", b"a,b"), (".log", b"x")], "path string, content binary")
     got = [(r.f, r.m, r.s) for r in df.select(formats.format_of(F.col("path")).alias("f"), formats.magic(F.col("content")).alias("m"), formats.spoofed(F.col("path"), F.col("content")).alias("s")).collect()]
-    assert got == [("pdf", "pdf", False), ("docx", "zip", False), ("pdf", "png", True), ("text", "text", False), (None, None, None)]
+    assert got == [("pdf", "pdf", False), ("docx", "zip", False), ("pdf", "png", True), ("text", "text", False), (None, None, None), ("csv", "text", False), (None, "text", True)]
     assert formats.zip_family(DOCX) == "docx" and formats.zip_family(XLSX) == "xlsx" and formats.archive_reason(DOCX) is None
     assert formats.archive_reason(archive(**{"..__x": "1"})) == "path_traversal" and formats.archive_reason(archive(**{"a.zip": "1"})) == "nested_archive" and formats.archive_reason(b"PK") == "corrupt"
 
