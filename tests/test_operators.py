@@ -3,6 +3,7 @@
 import datetime as dt
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,3 +111,22 @@ def test_tables(spark):
     assert tables.checked_vectors(v, "v", 2, 5).count() == 1
     with pytest.raises(ValueError):
         tables.checked_vectors(v, "v", 2, 0)
+
+
+def test_stored_leaves_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+    before = shuffled()
+    setting = spark.conf.get(tables._SHUFFLES_GO, None)
+    one = tables.stored(spark.range(2000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "one")
+    two = tables.stored(one.join(one.withColumnRenamed("count", "n").hint("merge"), "k"), "two")
+    assert sorted(r.k for r in two.collect()) == list(range(7))
+    assert spark.conf.get(tables._SHUFFLES_GO, None) == setting
+    until = time.time() + 20  # they are removed behind the query's back
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before
